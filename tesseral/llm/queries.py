@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm.quality import classify_quality
+from tesseral.llm.secrets import learn_field, scan_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_quality": op1_quality}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_secrets(docs, learn_field(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES = {"op1_quality": op1_quality, "op9_secrets": op9_secrets}
 SQL: dict[str, str] = {}
