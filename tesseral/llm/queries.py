@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesseral.llm.quality import classify_quality
 from tesseral.llm.secrets import learn_field, scan_secrets
+from tesseral.llm.tokens import count_tokens
+from tesseral.llm.warc import capture_facts, captures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +20,28 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_facts(captures(table(spark, sf_dir, "pages")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_secrets(docs, learn_field(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_secrets": op9_secrets}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op4_tokens": op4_tokens, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+SQL = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
+}
