@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesseral.llm.licenses import scan_licenses
+from tesseral.llm.mixing import mix_sources
 from tesseral.llm.quality import classify_quality
 from tesseral.llm.secrets import learn_field, scan_secrets
 from tesseral.llm.tokens import count_tokens
@@ -20,11 +22,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_facts(captures(table(spark, sf_dir, "pages")))
 
@@ -34,7 +44,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, learn_field(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_tokens": op4_tokens, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op4_tokens": op4_tokens, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
 SQL = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
