@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesseral.llm.decontaminate import find_items
 from tesseral.llm.licenses import scan_licenses
 from tesseral.llm.mixing import mix_sources
+from tesseral.llm.neighbours import nearest
 from tesseral.llm.quality import classify_quality
 from tesseral.llm.secrets import learn_field, scan_secrets
 from tesseral.llm.tokens import count_tokens
@@ -26,11 +28,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they hold."""
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -44,7 +55,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, learn_field(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op4_tokens": op4_tokens, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op6_neighbours": op6_neighbours, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
 SQL = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
