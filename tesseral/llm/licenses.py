@@ -82,10 +82,18 @@ def _scan_block(docs, id_col, text_col, notices, containment, bands, size) -> Da
     known_shingles = sorted({h for _, s in known for h in s})
     known_set = F.array(*(F.lit(h) for h in known_shingles)) if known_shingles else F.array().cast("array<bigint>")
     texts = docs.select(F.col(id_col), F.coalesce(word_shingles(F.col(text_col), size), F.array().cast("array<bigint>")).alias("__s")).filter(F.arrays_overlap("__s", known_set))
-    # (class, start) of all windows; the last one reaches the end
-    starts = F.array(*(F.transform(F.sequence(F.lit(0), F.size("__s") - 1, F.lit(max(1, k // 2))), lambda i, k=k: F.struct(F.lit(k).alias("klass"), i.cast("int").alias("start"))) for k in classes))
-    starts = F.flatten(starts) if classes else F.array().cast("array<struct<klass:int,start:int>>")
-    windows = texts.select(id_col, "__s", F.explode(starts).alias("w")).select(id_col, "w.klass", "w.start", F.array_distinct(F.slice("__s", F.col("w.start") + 1, F.col("w.klass") * 2)).alias("window")).filter(F.arrays_overlap("window", known_set))
+    # Windows of all classes, as (class, start, distinct shingles), cut within the row: rows that
+    # carried the text's shingles to each window would grow with the square of its length.
+    def cut(shingles: Column) -> Column:
+        def of(k: int) -> Column:  # a lambda with a default argument would get the index there
+            window = lambda i: F.array_distinct(F.slice(shingles, i.cast("int") + 1, F.lit(2 * k)))
+            return F.transform(F.sequence(F.lit(0), F.size(shingles) - 1, F.lit(max(1, k // 2))), lambda i: F.struct(F.lit(k).alias("klass"), i.cast("int").alias("start"), window(i).alias("window")))
+
+        parts = [of(k) for k in classes]
+        return F.filter(F.flatten(F.array(*parts)), lambda w: F.arrays_overlap(w["window"], known_set))
+
+    found = _bound(F.col("__s"), cut) if classes else F.array().cast("array<struct<klass:int,start:int,window:array<bigint>>>")
+    windows = texts.select(id_col, F.explode(found).alias("w")).select(id_col, "w.klass", "w.start", "w.window")
     keyed = windows.select("*", F.posexplode(_bands(F.col("window"), bands)).alias("band", "value"))
     keys = templates.select("license", "form", "shingles", "klass", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "value"))
     hits = keyed.join(F.broadcast(keys), ["klass", "band", "value"])  # at most block * bands rows of short arrays
