@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesseral.plans.storage import drop_written, new_path, shared_dir, written
+
 #: ASCII white space as the contracts define it: blank and U+0009 to U+000D.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 _SEPARATOR = np.zeros(256, bool)
@@ -18,39 +16,6 @@ _LOWER[65:91] += 32
 _BYTE_CODE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where it is unset (tests, one machine) a temporary folder
-    is made and set as the checkpoint folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tesseral-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tesseral-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the
-    lineage, survives lost executors and gives the planner true sizes."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def block_number(blocks: int, *cols):
     """A stable block in [0, blocks) from the columns' values; nulls included."""
     return F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
@@ -95,24 +60,53 @@ def inverse_powers(n: int) -> np.ndarray:
     return _INVERSES[:n]
 
 
+_SEGMENT = 1 << 20
+
+
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z only) words of all texts, one after
     the other, and the number of words of each text. None counts as empty.
 
-    Works on the UTF-8 bytes of the whole batch at once: a polynomial hash of
-    each word from one running sum, so no Python code runs per word."""
+    Works on UTF-8 bytes: a polynomial hash of each word from one running sum, so no
+    Python code runs per word; in segments that end between words, so the arrays
+    stay small however long the texts are."""
     data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    lengths = np.fromiter((len(d) + 1 for d in data), np.int64, len(data))
-    raw = _LOWER[np.frombuffer(b" ".join(data) + b" ", np.uint8)]
-    inside = ~_SEPARATOR[raw]
-    edges = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    running = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[raw] * powers(len(raw)), out=running[1:])
-    sums = (running[ends] - running[starts]) * inverse_powers(len(raw))[starts]
-    hashes = mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)])) if len(data) else np.zeros(1, np.int64)
-    return hashes, np.diff(bounds)
+    ends = np.cumsum(np.fromiter((len(d) + 1 for d in data), np.int64, len(data)))
+    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    hashes, begun, at = [], [], 0
+    while at < len(raw):
+        to = min(at + _SEGMENT, len(raw))
+        while to < len(raw):  # on to the next separator
+            gap = _SEPARATOR[raw[to : to + 4096]]
+            if gap.any():
+                to += int(gap.argmax())
+                break
+            to += len(gap)
+        part = _LOWER[raw[at:to]]
+        edges = np.diff((~_SEPARATOR[part]).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        running = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[part] * powers(len(part)), out=running[1:])
+        sums = (running[stops] - running[starts]) * inverse_powers(len(part) + 1)[starts]
+        hashes.append(mix(sums + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        begun.append(starts + at)
+        at = to
+    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    place = np.searchsorted(np.concatenate(begun), ends) if begun else np.zeros(len(data), np.int64)
+    return words, np.diff(place, prepend=0)
+
+
+def slices(texts: list, rows: int = 4096, chars: int = 6_000_000):
+    """(from, to) of runs of texts of bounded number and length (one at least)."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        size = 0 if t is None else len(t)
+        if k > at and (held + size > chars or k - at >= rows):
+            yield at, k
+            at, held = k, 0
+        held += size
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -140,3 +134,6 @@ def distinct_per_doc(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple
     keep = np.ones(len(hashes), bool)
     keep[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
     return hashes[keep], np.bincount(docs[keep], minlength=n_docs)
+
+
+__all__ = ["WORD_RE", "block_number", "distinct_per_doc", "drop_written", "mix", "new_path", "shared_dir", "shingle_hashes", "slices", "word_hashes", "written"]

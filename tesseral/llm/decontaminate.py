@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesseral.llm.common import block_number, mix, word_hashes
+from tesseral.llm.common import block_number, mix, slices, word_hashes
 
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -105,6 +105,10 @@ class Matcher:
 
     def find(self, texts: list) -> tuple[np.ndarray, ...]:
         """(text, item, first word, distance), the best place of each text and item."""
+        parts = [(a, self._find(texts[a:b])) for a, b in slices(texts)] or [(0, self._find([]))]
+        return (np.concatenate([a + p[0] for a, p in parts]), *(np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3)))
+
+    def _find(self, texts: list) -> tuple[np.ndarray, ...]:
         words, counts = word_hashes(texts)
         none = tuple(np.zeros(0, np.int64) for _ in range(4))
         if not len(words) or not self.by_size:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm.decontaminate import find_items
+from tesseral.llm.jaccard import jaccard_components
 from tesseral.llm.licenses import scan_licenses
 from tesseral.llm.mixing import mix_sources
 from tesseral.llm.neighbours import nearest
@@ -55,7 +56,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, learn_field(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op6_neighbours": op6_neighbours, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op6_neighbours": op6_neighbours, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
 SQL = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
