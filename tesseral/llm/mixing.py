@@ -105,7 +105,7 @@ def whole_copies(counts: DataFrame, dual: DataFrame, cap: int = 2, rounds: int =
     return state.select("sid", "size", "n", "copies")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: int = 2, block_rows: int = 200_000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: int = 2, block_rows: int = 1_000) -> DataFrame:
     """One row for each document: the id, ``size`` (words), ``source_size``,
     ``target`` (its source's), ``copies`` (0 to ``cap``) and ``taken`` (copies times
     size). Null texts have size 0 and no copies; a null source is a source of its
