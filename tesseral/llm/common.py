@@ -21,6 +21,22 @@ def block_number(blocks: int, *cols):
     return F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
 
 
+def bitmap_of(hashes, bits: int = 26) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) with the slots of all hashes of column ``h``: it
+    says of a hash that it may be there, or that it isn't."""
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    got = words.toPandas()  # at most 2**20 rows of 12 bytes
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int = 26) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - bits)
+    return ((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (wraps on purpose)."""
     x = x.astype(np.uint64, copy=True)
@@ -136,4 +152,4 @@ def distinct_per_doc(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple
     return hashes[keep], np.bincount(docs[keep], minlength=n_docs)
 
 
-__all__ = ["WORD_RE", "block_number", "distinct_per_doc", "drop_written", "mix", "new_path", "shared_dir", "shingle_hashes", "slices", "word_hashes", "written"]
+__all__ = ["WORD_RE", "bitmap_of", "block_number", "distinct_per_doc", "drop_written", "in_bitmap", "mix", "new_path", "shared_dir", "shingle_hashes", "slices", "word_hashes", "written"]

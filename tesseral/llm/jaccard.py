@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm.common import drop_written, mix, shingle_hashes, slices, word_hashes, written
+from tesseral.llm.common import bitmap_of, drop_written, in_bitmap, mix, shingle_hashes, slices, word_hashes, written
 from tesseral.operators.components import connected_components
 
 _BITS = 50
@@ -121,16 +121,6 @@ def heavy_bitmap(texts: DataFrame, size: int, bits: int, least: int = _HEAVY) ->
     return bitmap
 
 
-def _bitmap_of(hashes: DataFrame, bits: int = 26) -> np.ndarray:
-    """A bitmap of fixed size (8 MB) with the slots of all hashes of column ``h``."""
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    got = words.toPandas()  # at most 2**20 rows of 12 bytes
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _in_order(x: np.ndarray, doc: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Positions of the first ``most[d]`` entries of each d (doc is ascending)."""
     first = np.searchsorted(doc, np.arange(len(most)))
@@ -249,9 +239,7 @@ def _set_table(texts: DataFrame, size: int, wanted) -> DataFrame:
         bitmap, seen = wanted.value, set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            asked = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            slot = asked >> _u(64 - 26)
-            some = np.flatnonzero((bitmap[slot >> _u(6)] >> (slot & _u(63))) & _u(1))
+            some = np.flatnonzero(in_bitmap(bitmap, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             chosen = [texts[i] for i in some.tolist()]
             for a, b in slices(chosen):
                 element, _, n, keys = text_sets(chosen[a:b], size)
@@ -345,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_written(spark, found)
     classes = written(ids.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(heavy.select("key")).distinct()
-    wanted = spark.sparkContext.broadcast(_bitmap_of(wanted.join(classes, "key").select(F.xxhash64("rep").alias("h"))))
+    wanted = spark.sparkContext.broadcast(bitmap_of(wanted.join(classes, "key").select(F.xxhash64("rep").alias("h"))))
     sets = written(_set_table(source.select("text", F.xxhash64("id").alias("h")), size, wanted), "sets")
     labels = _links(spark, pairs, heavy, sets)
     drop_written(spark, sets)

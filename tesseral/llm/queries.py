@@ -11,6 +11,7 @@ from tesseral.llm.licenses import scan_licenses
 from tesseral.llm.mixing import mix_sources
 from tesseral.llm.neighbours import nearest
 from tesseral.llm.quality import classify_quality
+from tesseral.llm.repeats import remove_repeats
 from tesseral.llm.secrets import learn_field, scan_secrets
 from tesseral.llm.tokens import count_tokens
 from tesseral.llm.warc import capture_facts, captures
@@ -39,6 +40,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -60,7 +65,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op6_neighbours": op6_neighbours, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op5_repeats": op5_repeats, "op6_neighbours": op6_neighbours, "op7_licenses": op7_licenses, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
 SQL = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
