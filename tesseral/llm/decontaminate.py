@@ -75,11 +75,12 @@ class Matcher:
         words, counts = word_hashes(texts)
         starts = np.cumsum(counts) - counts
         self.rate, self.width, self.by_size = rate, width, {}
-        pairs = []
-        for n in sorted({int(c) for c in counts if c >= min_words}):
+        pairs, groups = [], []
+        for q, n in enumerate(sorted({int(c) for c in counts if c >= min_words})):
             which = np.flatnonzero(counts == n)
             rows = np.stack([words[starts[i] : starts[i] + n] for i in which])
             pairs.append(mix(rows[:, :-1] * np.uint64(3) + rows[:, 1:]).ravel())
+            groups.append(np.full(len(pairs[-1]), 1 << (q % 64), np.uint64))
             rng = np.random.default_rng([n, 23])
             samples = [(int(rng.integers(walks)), rng.choice(2 * n, width, replace=False)) for _ in range(tables)]
             keys = self._keys(rows, np.full(len(rows), n), samples, n)
@@ -87,7 +88,13 @@ class Matcher:
             fresh = pairs[-1].reshape(len(rows), -1)
             fresh = 1 + (fresh[:, 1:] != fresh[:, :-1]).sum(axis=1).min()
             self.by_size[n] = which, rows, samples, np.take_along_axis(keys, order, 1), order, int(fresh)
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        # All word pairs of items, the sizes (a bit each, mod 64) of the items that have
+        # them, and a table that tells most other pairs apart by 18 bits.
+        self.pairs, where = np.unique(np.concatenate(pairs), return_inverse=True) if pairs else (np.zeros(0, np.uint64), np.zeros(0, int))
+        self.groups = np.zeros(len(self.pairs), np.uint64)
+        np.bitwise_or.at(self.groups, where, np.concatenate(groups) if groups else np.zeros(0, np.uint64))
+        self.maybe = np.zeros(1 << 18, bool)
+        self.maybe[self.pairs >> np.uint64(46)] = True
 
     @staticmethod
     def _keys(rows, lengths, samples, n) -> np.ndarray:
@@ -116,22 +123,24 @@ class Matcher:
         doc = np.repeat(np.arange(len(texts)), counts)
         end = np.repeat(np.cumsum(counts), counts)
         pair = mix(words[:-1] * np.uint64(3) + words[1:])
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        hit = np.concatenate([(self.pairs[at] == pair) & (doc[:-1] == doc[1:]), [False]])
-        fresh_hit = hit.copy()
-        fresh_hit[1:-1] &= (pair[1:] != pair[:-1]) | (doc[1:-1] != doc[:-2])
-        sums, fresh_sums = (np.concatenate([[0], np.cumsum(h)]) for h in (hit, fresh_hit))
-        # A match of some distance begins at a pair that is there, or within k of one.
+        live = np.flatnonzero(self.maybe[pair >> np.uint64(46)])
+        at = np.minimum(np.searchsorted(self.pairs, pair[live]), len(self.pairs) - 1)
+        good = (self.pairs[at] == pair[live]) & (doc[live] == doc[live + 1])
+        live, groups = live[good], self.groups[at[good]]
+        fresh_here = np.ones(len(live), bool)
+        fresh_here[live > 0] = (pair[live[live > 0]] != pair[live[live > 0] - 1]) | (doc[live[live > 0]] != doc[live[live > 0] - 1])
         found = []
-        live_at = np.flatnonzero(hit)
-        if not len(live_at):
-            return none
-        for n, (which, rows, samples, keys, order, fresh) in self.by_size.items():
+        for q, (n, (which, rows, samples, keys, order, fresh)) in enumerate(self.by_size.items()):
             k = int(self.rate * n)
             need = n - 1 - 2 * k
             if need > 0:
-                upto = np.minimum(live_at + n + k - 1, end[live_at] - 1)
-                near = live_at[(sums[upto] - sums[live_at] >= need) & (1 + fresh_sums[upto] - fresh_sums[live_at] >= fresh - 3 * k)]
+                # A match begins at a pair that is there, or at most k words before one.
+                mine = ((groups >> np.uint64(q % 64)) & np.uint64(1)).astype(bool)
+                here = live[mine]
+                upto = np.searchsorted(here, np.minimum(here + n + k - 1, end[here] - 1))
+                sums = np.concatenate([[0], np.cumsum(fresh_here[mine])])
+                i = np.arange(len(here))
+                near = here[(upto - i >= need) & (1 + sums[upto] - sums[i] >= fresh - 3 * k)]
                 starts = np.unique((near[:, None] - np.arange(k + 1)).ravel())
                 starts = starts[starts >= 0]
             else:
