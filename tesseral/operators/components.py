@@ -1,44 +1,123 @@
 """Equivalence classes: union-find as connected components of an edge table.
 
-The representative of a class is its smallest id. Edges are rewired by alternating
-large and small stars until nothing changes: few rounds (about log of the class
-size), each a grouped minimum with map-side combination and one join, so a class
-that holds a third of all ids is no single task's work.
+The representative of a class is its smallest id. Small edge tables (by their
+counted rows) are joined up by one task, in arrays. Larger ones are rewired by
+alternating large and small stars until nothing changes: few rounds (about log of
+the class size), each a grouped minimum with map-side combination and one join, so
+a class that holds a third of all ids is no single task's work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesseral.plans.storage import drop_written, written
 
+SMALL_EDGES = 500_000
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
+
+def singletons(spark: SparkSession, n: int) -> DataFrame:
+    """(id, rep) of n classes of one id each."""
+    return spark.range(n).select("id", F.col("id").alias("rep"))
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each element's class, for edges over 0 to n - 1: labels
+    fall along edges and jump to their labels' labels until none changes."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+        if (label == before).all():
+            return label
+
+
+def _small(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    kind = pairs.schema["u"].dataType
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        frame = table.to_pandas()
+        group = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(frame), np.int64)
+        u, v = frame["u"].to_numpy(), frame["v"].to_numpy()
+        values, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        code = np.concatenate([group, group]) * len(values) + place
+        known, first, index = np.unique(code, return_index=True, return_inverse=True)
+        label = least_labels(index[: len(u)], index[len(u) :], len(known))
+        of = pa.array(first % len(u))
+        ids = values[known % len(values)]
+        reps = values[known[label] % len(values)]
+        arrow = table.schema.field("u").type
+        yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(of) for k in keys), pa.array(ids, arrow), pa.array(reps, arrow)], names=[*keys, "id", "rep"])
+
+    fields = [*(pairs.schema[k] for k in keys), T.StructField("id", kind), T.StructField("rep", kind)]
+    return pairs.coalesce(1).mapInArrow(run, T.StructType(fields))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), small: int = SMALL_EDGES, max_rounds: int = 60) -> DataFrame:
     """(keys..., id, rep) for every id in an edge, self edges included. ``keys``
-    separate instances: edges link ids of one instance only. Rows with a null end
-    are left out. Raises RuntimeError if ``max_rounds`` don't suffice."""
+    separate instances: edges link ids of one instance only, and null keys don't
+    occur. Rows with a null end are left out. One task does up to ``small`` edges.
+    Raises RuntimeError if ``max_rounds`` don't suffice."""
     spark, keys = edges.sparkSession, list(keys)
     pairs = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     pairs = written(pairs.distinct(), "edges")
-    state, marks = pairs.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
-    own = None
+    if pairs.count() <= small:
+        return _small(pairs, keys)
+    state, marks, own = pairs.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
     for _ in range(max_rounds):
         both = state.union(state.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, [*keys, "u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = large.join(least, [*keys, "u"]).filter("v <> m").select(*keys, F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new = written(small.union(least.select(*keys, "u", F.col("m").alias("v"))).distinct(), "stars")
-        count, check = new.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+        rest = large.join(least, [*keys, "u"]).filter("v <> m").select(*keys, F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        new = written(rest.union(least.select(*keys, "u", F.col("m").alias("v"))).distinct(), "stars")
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first())
         if own is not None:
             drop_written(spark, own)
         state = own = new
-        if marks == (count, check):
+        if marks == now:
             break
-        marks = (count, check)
+        marks = now
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     found = state.select(*keys, F.col("u").alias("id"), F.col("v").alias("rep"))
     ends = pairs.select(*keys, F.col("u").alias("id")).union(pairs.select(*keys, F.col("v").alias("id"))).distinct()
     return ends.join(found, [*keys, "id"], "left").select(*keys, "id", F.coalesce("rep", "id").alias("rep"))
+
+
+def union_all(rep: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The class table ``rep`` (keys, id, rep) after all unions of ``pairs``: classes,
+    not ids, are joined, and each rep stays its class's smallest id."""
+    keys = list(keys)
+    named = find(find(pairs.select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b")), rep, "__a", "a", keys), rep, "__b", "b", keys)
+    moved = connected_components(named.filter("a <> b"), "a", "b", tuple(keys)).select(*keys, F.col("id").alias("rep"), F.col("rep").alias("__to"))
+    return rep.join(moved, [*keys, "rep"], "left").select(*keys, "id", F.coalesce("__to", "rep").alias("rep"))
+
+
+def find(rows: DataFrame, rep: DataFrame, column: str, name: str, keys: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``rows`` with the representative of ``column`` as ``name``; an id that the
+    class table lacks is its own."""
+    keys = list(keys)
+    right = rep.select(*keys, F.col("id").alias(column), F.col("rep").alias("__rep"))
+    return rows.join(right, [*keys, column], "left").withColumn(name, F.coalesce("__rep", column)).drop("__rep")
+
+
+def same_set(rows: DataFrame, rep: DataFrame, a: str, b: str, name: str = "same", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with whether ``a`` and ``b`` are in one class."""
+    both = find(find(rows, rep, a, "__ra", keys), rep, b, "__rb", keys)
+    return both.withColumn(name, F.col("__ra") == F.col("__rb")).drop("__ra", "__rb")
