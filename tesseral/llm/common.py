@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from tesseral.plans.storage import drop_written, new_path, shared_dir, written
@@ -125,6 +127,20 @@ def slices(texts: list, rows: int = 4096, chars: int = 6_000_000):
         yield at, len(texts)
 
 
+def text_slices(column: pa.Array, rows: int = 1024, size: int = 1_500_000):
+    """(from, texts) of an Arrow column of texts, few at a time: at most ``rows`` and
+    about ``size`` bytes, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    at, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > at and (held + n > size or k - at >= rows):
+            yield at, column.slice(at, k - at).to_pylist()
+            at, held = k, 0
+        held += n
+    if at < len(sizes):
+        yield at, column.slice(at).to_pylist()
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``size``-word shingles of each text and the text's number.
     A text with fewer words than ``size``, but some, has one shingle of all."""
@@ -152,4 +168,4 @@ def distinct_per_doc(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple
     return hashes[keep], np.bincount(docs[keep], minlength=n_docs)
 
 
-__all__ = ["WORD_RE", "bitmap_of", "block_number", "distinct_per_doc", "drop_written", "in_bitmap", "mix", "new_path", "shared_dir", "shingle_hashes", "slices", "word_hashes", "written"]
+__all__ = ["WORD_RE", "bitmap_of", "block_number", "distinct_per_doc", "drop_written", "in_bitmap", "mix", "new_path", "shared_dir", "shingle_hashes", "slices", "text_slices", "word_hashes", "written"]

@@ -13,9 +13,10 @@ orders differ in the hash. A pair is a candidate if its prefixes meet under both
    sets has only light elements in its prefixes, so has their common element.
 3. Two sets that have heavy elements in their prefixes may share these only. They
    meet through hubs, one for each element, in grouped maxima without any list.
-4. Candidates are verified exactly. To find components it isn't needed to verify
-   all pairs of a cluster: first one pair for each set, then, again and again, only
-   pairs between sets that aren't yet connected, until none is left untested.
+4. Candidates whose odd sketches (a bit turned over for each element) differ too much
+   are dropped, which is sound, and the others verified exactly. For components not
+   all pairs of a cluster are needed: first one pair for each set, then, again and
+   again, pairs between sets that aren't yet connected, until none is left untested.
 
 Elements are 50-bit hashes, equal sets are recognised by a 64-bit sum of hashes.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm.common import bitmap_of, drop_written, in_bitmap, mix, shingle_hashes, slices, word_hashes, written
+from tesseral.llm.common import bitmap_of, drop_written, in_bitmap, mix, shingle_hashes, text_slices, word_hashes, written
 from tesseral.operators.components import connected_components
 
 _BITS = 50
@@ -58,6 +59,20 @@ def text_sets(texts: list, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.nd
     return element, doc, n, keys
 
 
+def odd_sketches(element: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set a bit vector, of the least power of two of bits that is 2n or more
+    (64 at least); each element turns one bit over. Two vectors, the longer folded to
+    the shorter one's length, differ in no more bits than the sets in elements."""
+    words = np.ones(len(n), np.int64)
+    big = n > 32
+    words[big] = 1 << np.ceil(np.log2(n[big] / 32)).astype(np.int64)
+    begin = np.cumsum(words) - words
+    place = (mix(element * _u(3)) >> _u(8)) & (words[doc] * 64 - 1).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, begin[doc] + (place >> _u(6)).astype(np.int64), _u(1) << (place & _u(63)))
+    return out.view(np.int64), words
+
+
 def prefix_length(n):
     """Elements of a set's prefix: n - ceil(3n/4) + 1."""
     return n - (3 * n + 3) // 4 + 1
@@ -89,9 +104,8 @@ def heavy_bitmap(texts: DataFrame, size: int, bits: int, least: int = _HEAVY) ->
 
     def count(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                element = text_sets(texts[a:b], size)[0] >> _u(_BITS - 32)
+            for _, texts in text_slices(batch.column(0)):
+                element = text_sets(texts, size)[0] >> _u(_BITS - 32)
                 element.sort()
                 first = np.flatnonzero(np.diff(element, prepend=_u(2**40)) != 0)
                 values, counts = element[first], np.diff(first, append=len(element))
@@ -134,9 +148,8 @@ def prefix_blocks(texts: DataFrame, size: int, bitmap, bits: int) -> DataFrame:
     def run(batches):
         heavy_bits, seen = bitmap.value, set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                element, doc, n, keys = text_sets(texts[a:b], size)
+            for _, texts in text_slices(batch.column(0), 4096, 4_000_000):
+                element, doc, n, keys = text_sets(texts, size)
                 fresh = np.zeros(len(n), bool)
                 fresh[np.unique(keys, return_index=True)[1]] = True
                 fresh &= (n > 0) & np.fromiter((k not in seen for k in keys.tolist()), bool, len(n))
@@ -238,11 +251,9 @@ def _set_table(texts: DataFrame, size: int, wanted) -> DataFrame:
     def run(batches):
         bitmap, seen = wanted.value, set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             some = np.flatnonzero(in_bitmap(bitmap, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            chosen = [texts[i] for i in some.tolist()]
-            for a, b in slices(chosen):
-                element, _, n, keys = text_sets(chosen[a:b], size)
+            for _, texts in text_slices(batch.column(0).take(pa.array(some))):
+                element, _, n, keys = text_sets(texts, size)
                 ends = np.cumsum(n)
                 new = [i for i, k in enumerate(keys.tolist()) if n[i] and not (k in seen or seen.add(k))]
                 if new:
@@ -253,6 +264,17 @@ def _set_table(texts: DataFrame, size: int, wanted) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, tokens array<bigint>")
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose odd sketches allow a similarity of 3/4: then the sets differ in
+    a seventh of the sum of their sizes at most."""
+    side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    fold = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")), lambda i: F.get(x, i).bitwiseXOR(F.get(x, i + (F.size(x) / 2).cast("int"))))
+    short = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(F.col(x))
+    bits = F.aggregate(F.zip_with(short("sa", "sb"), short("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.filter((F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3) & (bits * 7 <= F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets have 100 * |a and b| >= 75 * |a or b|."""
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
@@ -265,7 +287,68 @@ def _ordered(x: str, y: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _links(spark: SparkSession, pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(element: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list, across: np.ndarray) -> np.ndarray:
+    """Pairs (2, m) of keys under one element whose labels differ, sizes fit and
+    sketches allow a similarity of 3/4. Rows ascend by element; where ``across`` is
+    set only rows of different sides meet."""
+    found = [np.zeros((2, 0), np.int64)]
+    words = np.fromiter(map(len, sketches), np.int64, len(sketches))
+
+    def matrix(lo: int, hi: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose sketches have ``size`` or twice as many words, folded to it."""
+        at = lo + np.flatnonzero((words[lo:hi] == size) | (words[lo:hi] == 2 * size))
+        out = np.zeros((len(at), size), np.uint64)
+        for r, k in enumerate(at.tolist()):
+            v = sketches[k].view(np.uint64)
+            out[r] = v if len(v) == size else v[:size] ^ v[size:]
+        return at, out
+
+    bounds = np.flatnonzero(np.diff(element, prepend=-1, append=-1)).tolist()
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if label[lo:hi].min() == label[lo:hi].max():
+            continue
+        for size in np.unique(words[lo:hi]).tolist():
+            at, bits = matrix(lo, hi, size)
+            small = np.flatnonzero(words[at] == size)  # each pair at the size of its shorter sketch
+            for r in small.tolist():
+                x = at[r]
+                rest = np.flatnonzero((label[at] != label[x]) & ((words[at] > size) | (at > x)) & (4 * np.minimum(n[at], n[x]) >= 3 * np.maximum(n[at], n[x])) & (~across[x] | (side[at] != side[x])))
+                if len(rest):
+                    apart = np.bitwise_count(bits[rest] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                    hit = at[rest[7 * apart <= n[at[rest]] + n[x]]]
+                    found.append(np.stack([np.full(len(hit), key[x]), key[hit]]))
+    out = np.concatenate(found, axis=1)
+    out.sort(axis=0)
+    return np.unique(out, axis=1)
+
+
+def _crossed(named: DataFrame, sketches: DataFrame, chunk: int = 4096, rows: int = 20_000) -> DataFrame:
+    """Distinct plausible pairs (a, b) of different labels that share an element of
+    ``named`` (element, key, n, label). Lists of more than ``chunk`` sets are cut, and
+    each two of their parts meet in a task of their own."""
+    sizes = named.groupBy("element").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("key", F.lit(8)), F.col("parts")).cast("int")
+    dealt = named.join(sizes, "element").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("element", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "n", "label")
+    # One task's rows: all of some (element, i, j); their number is bounded by chunk.
+    blocks = max(1, named.count() // rows)
+    dealt = dealt.join(sketches.select("key", "sketch"), "key").withColumn("block", F.pmod(F.xxhash64("element", "i", "j"), F.lit(blocks)))
+
+    def run(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_numpy()
+        order = np.lexsort((col("key"), col("j"), col("i"), col("element")))
+        element, i, j = col("element")[order], col("i")[order], col("j")[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (element[1:] != element[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        lists = table.column("sketch").combine_chunks()
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        found = _compared(np.cumsum(new), col("key")[order], col("n")[order].astype(np.int64), col("label")[order], col("part")[order], [values[at[k] : at[k + 1]] for k in order.tolist()], i != j)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+
+    return dealt.groupBy("block").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _links(spark: SparkSession, pairs: DataFrame, heavy: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, label): sets that a chain of verified links connects share a label.
 
     pairs (a, b) and heavy (element, key, n, share) hold all candidates."""
@@ -277,9 +360,10 @@ def _links(spark: SparkSession, pairs: DataFrame, heavy: DataFrame, sets: DataFr
 
     # One pair for each set: with its smallest partner, or with the hubs of its heavy elements; the
     # set with the largest share of heavy elements is the likeliest original of near copies.
+    fit = lambda rows: written(_plausible(rows, sketches), "plausible")
     tested = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star(heavy, F.col("share"))).distinct()
     tested = written(tested, "tested")
-    links = written(_verified(tested, sets), "links")
+    links = written(_verified(fit(tested), sets), "links")
     for turn in range(1, 9):
         labels = written(connected_components(links).select(F.col("id").alias("key"), F.col("rep").alias("label")), "labels")
         at = lambda df, c, name: df.join(labels.select(F.col("key").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
@@ -290,13 +374,12 @@ def _links(spark: SparkSession, pairs: DataFrame, heavy: DataFrame, sets: DataFr
         if turn == 1:  # another hub for each element, then all that is left
             more = star(named, F.xxhash64("key"))
         else:
-            other = named.select("element", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            more = _ordered("key", "key2", named.join(other, "element").filter((F.col("label") < F.col("label2")) & fits(F.col("n"), F.col("n2"))))
+            more = _crossed(named.select("element", "key", "n", "label"), sketches)
         new = written(apart.union(more).distinct().join(tested, ["a", "b"], "left_anti"), "untested")
         if new.isEmpty() and turn > 1:
             return labels
         if not new.isEmpty():
-            links = written(links.union(_verified(new, sets)), "links")
+            links = written(links.union(_verified(fit(new), sets)), "links")
             tested = written(tested.union(new), "tested")
     return written(connected_components(links).select(F.col("id").alias("key"), F.col("rep").alias("label")), "labels")
 
@@ -315,27 +398,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def digest(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                _, _, n, keys = text_sets(texts[a:b], size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(keys)], names=["id", "n", "key"])
-
-    ids = written(source.mapInArrow(digest, f"id {id_type}, n bigint, key bigint"), "digests")
+            for a, texts in text_slices(batch.column(1)):
+                element, doc, n, keys = text_sets(texts, size)
+                bits, words = odd_sketches(element, doc, n)
+                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(words)]), pa.int32()), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(n, pa.int64()), pa.array(keys), sketch], names=["id", "n", "key", "sketch"])
+
+    digests = written(source.mapInArrow(digest, f"id {id_type}, n bigint, key bigint, sketch array<bigint>"), "digests")
+    ids = digests.select("id", "n", "key")
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(16, max(4, int(total // 2_000_000).bit_length()))
     texts = source.select("text").filter("text IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(heavy_bitmap(texts, size, bits + 2))
     found = written(candidates(prefix_blocks(texts, size, bitmap, bits), bits), "candidates")
-    pairs = written(found.filter("kind = 1").groupBy("a", "b").agg(F.bit_or("m").alias("m")).filter("m = 3").select("a", "b"), "pairs")
+    pairs = written(found.filter("kind = 1").groupBy("a", "b").agg(F.bit_or("m").alias("m")).filter("m = 3").select("a", "b"), "met")
     heavy = found.filter("kind = 2").select(F.col("a").alias("element"), F.col("b").alias("key"), F.col("m").alias("n"), F.col("s").alias("share")).distinct()
     several = heavy.groupBy("element").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("element")
     heavy = written(heavy.join(several, "element"), "heavy")
     drop_written(spark, found)
     classes = written(ids.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
+    met = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(heavy.select("key")).distinct(), "keys")
+    # equal sets have equal sketches; one of each is kept
+    sketches = written(digests.join(met, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    pairs = written(_plausible(pairs, sketches), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(heavy.select("key")).distinct()
     wanted = spark.sparkContext.broadcast(bitmap_of(wanted.join(classes, "key").select(F.xxhash64("rep").alias("h"))))
     sets = written(_set_table(source.select("text", F.xxhash64("id").alias("h")), size, wanted), "sets")
-    labels = _links(spark, pairs, heavy, sets)
+    labels = _links(spark, pairs, heavy, sketches, sets)
     drop_written(spark, sets)
     named = classes.join(labels, "key", "left")
     least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("rep").alias("least"))
