@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesseral.llm.common import _BYTE_CODE, bitmap_of, drop_written, in_bitmap, inverse_powers, mix, powers, written
+from tesseral.llm.common import _BYTE_CODE, bitmap_of, drop_written, in_bitmap, inverse_powers, mix, powers, text_slices, written
 
 GRAM = 16
 _POS = np.uint64((1 << 24) - 1)
@@ -41,43 +41,53 @@ def window_runs(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """The runs of all texts: text's number, anchor, first and last window (places in
     the text), hash of the anchor, hash of the content. At most 16 MB in all."""
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
-    raw = np.frombuffer(b"".join(data), np.uint8)
+    body = b"".join(data)
+    raw = np.frombuffer(body, np.uint8)
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     n, starts = len(raw), np.cumsum(sizes) - sizes
     if not len(data) or sizes.max() < length:
         return none
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[raw] * powers(n), out=running[1:])
-    inverse = inverse_powers(n + 1)
-    grams = mix((running[GRAM:] - running[:-GRAM]) * inverse[: n - GRAM + 1])
+    eight = np.empty(n - 7, np.uint64)  # the 8 bytes from each place on
+    for r in range(8):
+        part = np.frombuffer(body, "<u8", (n - r) // 8, r)
+        eight[r::8] = part
+    grams = eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    grams ^= grams >> np.uint64(31)
+    grams *= np.uint64(0xD6E8FEB86659FD93)
     wide = length - GRAM + 1
     key = np.full(-(-(n - GRAM + 1) // wide) * wide, np.uint64(2**64 - 1))
-    key[: n - GRAM + 1] = (grams & ~_POS) | np.arange(n - GRAM + 1, dtype=np.uint64)
+    np.bitwise_and(grams, ~_POS, out=key[: n - GRAM + 1])
+    key[: n - GRAM + 1] |= np.arange(n - GRAM + 1, dtype=np.uint64)
     table = key.reshape(-1, wide)  # window minima from prefix and suffix minima of blocks
     upto = np.minimum.accumulate(table, axis=1).ravel()
     since = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - length + 1
-    anchor = (np.minimum(since[:m], upto[wide - 1 : wide - 1 + m]) & _POS).astype(np.int64)
-    counts = np.maximum(sizes - length + 1, 0)
-    doc = np.repeat(np.arange(len(data)), counts)
-    p = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    a = anchor[p]
-    new = np.ones(len(p), bool)
-    new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(p) - 1]])
-    lo, hi, a, doc = p[first], p[last], a[first], doc[first]
-    content = mix((running[hi + length] - running[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix((a - lo).astype(np.uint64)))
+    least = np.minimum(since[:m], upto[wide - 1 : wide - 1 + m])
+    new = np.zeros(m, bool)
+    new[1:] = least[1:] != least[:-1]
+    some = np.flatnonzero(sizes >= length)
+    for s, size in zip(starts[some].tolist(), sizes[some].tolist()):
+        new[s] = True
+        new[s + size - length + 1 : s + size] = False  # windows that cross the text's end
+    for s, size in zip(starts[sizes < length].tolist(), sizes[sizes < length].tolist()):
+        new[s : s + size] = False
+    lo = np.flatnonzero(new)
+    doc = np.searchsorted(starts, lo, side="right") - 1
+    hi = np.minimum(np.append(lo[1:], n) - 1, (starts + sizes - length)[doc])
+    a = (least[lo] & _POS).astype(np.int64)
+    running = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[raw] * powers(n), out=running[1:])
+    content = mix((running[hi + length] - running[lo]) * inverse_powers(n)[lo] + (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix((a - lo).astype(np.uint64)))
     return doc, a - starts[doc], lo - starts[doc], hi - starts[doc], grams[a].view(np.int64), content.view(np.int64)
 
 
-def pieces(texts: list, length: int, most: int = 1 << 20):
+def pieces(column: pa.Array, length: int, most: int = 1 << 19):
     """(number of the text, place in it, bytes): texts as bytes, several in a list of
     about ``most`` bytes; longer ones in pieces that overlap by length - 1 bytes. Runs
     may then end with a piece; what is found doesn't depend on that."""
     out, held = [], 0
-    for i, t in enumerate(texts):
-        data = b"" if t is None else t.encode("utf-8", "surrogatepass")
+    for i, data in ((at + k, t) for at, texts in text_slices(column.cast(pa.binary()), size=most) for k, t in enumerate(texts)):
+        data = data or b""
         for at in range(0, max(len(data) - length + 1, 0), most):
             part = data[at : at + most + length - 1]
             out.append((i, at, part))
@@ -93,7 +103,7 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in pieces(batch.column(1).to_pylist(), length):
+            for part in pieces(batch.column(1), length):
                 doc, a, lo, hi, gram, content = window_runs([d for _, _, d in part], length)
                 text, at = np.array([i for i, _, _ in part])[doc], np.array([x for _, x, _ in part])[doc]
                 cols = (uid[text], gram, content, a + at, lo + at, hi + at)
@@ -108,7 +118,7 @@ def _contexts(texts: DataFrame, length: int, wanted) -> DataFrame:
     def run(batches):
         seen = set()
         for batch in batches:
-            for part in pieces(batch.column(0).to_pylist(), length):
+            for part in pieces(batch.column(0), length):
                 data = [d for _, _, d in part]
                 doc, a, lo, hi, gram, content = window_runs(data, length)
                 some = np.flatnonzero(in_bitmap(wanted.value, gram.view(np.uint64)))
@@ -182,20 +192,28 @@ def repeated_windows(left: np.ndarray, span: np.ndarray, body: list[bytes], leng
         rank[order] = np.arange(n)
         sides.append((rank, common))
     (rank_r, common_r), (rank_l, common_l) = sides
+    # A row shares no more with any other than with a neighbour in the order, so windows
+    # that need more on a side are in no other row.
+    most = []
+    for rank, common in sides:
+        after = np.append(common[1:], 0)
+        most.append(np.maximum(common, after)[rank])
+    low = np.maximum(left - span, length - most[0])
+    high = np.minimum(left, most[1])
+    live = np.flatnonzero(low <= high)
     rows, windows = [], []
-    nearest = left - span
-    for o in range(reach + 1):
-        some = np.flatnonzero((nearest <= o) & (o <= left))
+    for o in range(int(low[live].min()), int(high[live].max()) + 1) if len(live) else ():
+        some = live[(low[live] <= o) & (o <= high[live])]
         if len(some) < 2:
             continue
-        in_r, in_l = np.cumsum(common_r < length - o)[rank_r[some]], np.cumsum(common_l < o)[rank_l[some]] if o else np.zeros(len(some), np.int64)
-        few = np.bincount(in_r)[in_r] > 1
-        some, in_r, in_l = some[few], in_r[few], in_l[few]
-        pair = in_r * (n + 1) + in_l
+        pair = np.cumsum(common_r < length - o)[rank_r[some]] * (n + 1)
+        if o:
+            pair += np.cumsum(common_l < o)[rank_l[some]]
         by = np.argsort(pair, kind="stable")
+        pair = pair[by]
+        equal = pair[1:] == pair[:-1]
         same = np.zeros(len(pair), bool)
-        equal = pair[by][1:] == pair[by][:-1]
-        same[1:] |= equal
+        same[1:] = equal
         same[:-1] |= equal
         hit = some[by[same]]
         rows.append(hit)
@@ -203,8 +221,9 @@ def repeated_windows(left: np.ndarray, span: np.ndarray, body: list[bytes], leng
     if rows:
         rows, windows = np.concatenate(rows), np.concatenate(windows)
         by = np.lexsort((windows, rows))
-        cuts = np.searchsorted(rows[by], np.arange(n + 1))
-        return [windows[by][cuts[i] : cuts[i + 1]] for i in range(n)]
+        rows, windows = rows[by], windows[by]
+        cuts = np.searchsorted(rows, np.arange(n + 1))
+        return [windows[cuts[i] : cuts[i + 1]] for i in range(n)]
     return [np.zeros(0, np.int64)] * n
 
 
@@ -250,7 +269,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     return rows.join(shared, "h").select("gram", "content", F.col("w").alias("from"), F.col("w").alias("to"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, many: int = 20_000, block_runs: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, many: int = 20_000, block_runs: int = 4_000) -> DataFrame:
     """One row for each row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs), ``kept_sha256`` (lower-case hex, of the remaining bytes)
     and ``kept`` (binary, these bytes).
