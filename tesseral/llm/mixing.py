@@ -51,7 +51,7 @@ def solve_dual(counts: DataFrame, targets: DataFrame, cap: float = 2.0, steps: i
     """``counts`` (sid, size, n) and ``targets`` to (sid, target, source_size, mean,
     lam). One job a step over the counts; only the largest relative residual comes
     to the driver. Newton's step is taken within a bracket, else the bracket halves."""
-    state = targets.select("sid", "target", "source_size", (F.col("source_size") / F.greatest("n", F.lit(1))).alias("mean"), F.lit(0.0).alias("lam"), F.lit(-1e3).alias("low"), F.lit(1e6).alias("high"), F.lit(1.0).alias("off"))
+    state = targets.select("sid", "target", "source_size", (F.greatest("source_size", F.lit(1)) / F.greatest("n", F.lit(1))).alias("mean"), F.lit(0.0).alias("lam"), F.lit(-1e3).alias("low"), F.lit(1e6).alias("high"), F.lit(1.0).alias("off"))
     keys = ["sid", "target", "source_size", "mean", "lam", "low", "high"]
     last = None
     for _ in range(steps):
@@ -62,8 +62,8 @@ def solve_dual(counts: DataFrame, targets: DataFrame, cap: float = 2.0, steps: i
         )
         gap = F.col("got") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        step = F.col("lam") - gap / F.col("slope")
-        inside = (F.col("slope") > 0) & (step > low) & (step < high)
+        step = F.col("lam") - gap / F.nullif(F.col("slope"), F.lit(0.0))
+        inside = F.coalesce((F.col("slope") > 0) & (step > low) & (step < high), F.lit(False))
         halved = F.when(high > 1e5, F.greatest(F.col("lam") * 4, F.lit(4.0))).when(low < -999, F.least(F.col("lam") * 4, F.lit(-4.0))).otherwise((low + high) / 2)
         off = F.abs(gap) / F.greatest("target", F.lit(1.0))
         done = (off <= tolerance) | (F.col("target") <= 0) | (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12))
