@@ -132,7 +132,7 @@ def _scan(vectors: DataFrame, dim: int, query_ids: np.ndarray, queries: np.ndarr
     return vectors.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 32, width: int = 2, probes: int = 64, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 32, width: int = 2, probes: int = 256, block: int = 2048) -> DataFrame:
     """The k nearest found (Euclidean) of each query: ``query_id``, ``rank`` from 1,
     ``vec_id``, ``score``; nearest first, ties to the smaller id.
 
