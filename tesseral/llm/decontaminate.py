@@ -8,7 +8,7 @@ over, retrieve the item. The exact edit distance of words then decides.
 
 ``tables`` samples of ``width`` places from ``walks`` walks: a pair whose embeddings
 differ at a share h of the places is missed with probability (1-(1-h)^width)^tables;
-for the defaults and h = 0.5, 0.0006. Windows are embedded only where a lossless
+for the defaults and h = 0.75, 0.0003. Windows are embedded only where a lossless
 count allows a match: each edit breaks at most two of an item's word pairs, so a
 window within k edits of an item of n words has n - 1 - 2k of them at least. Of the
 item's pairs that differ from the pair before, r in number, an edit can also make
@@ -28,17 +28,18 @@ from tesseral.llm.common import block_number, mix, slices, word_hashes
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
 
-def cgk(words: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """Embeddings (rows, steps) of the rows of ``words``, padded beyond ``lengths``."""
+def cgk(words: np.ndarray, lengths: np.ndarray, steps: int, walks: int, seed: int = 101) -> np.ndarray:
+    """Embeddings (walks, rows, steps) of the rows of ``words``, of which ``lengths``
+    words count; a walk that is through writes a filler."""
     n, width = words.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, steps), np.uint64)
-    bits = np.random.default_rng(seed).integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)
+    at, rows = np.zeros((walks, n), np.int64), np.arange(n)
+    out = np.empty((walks, n, steps), np.uint64)
+    bits = np.random.default_rng(seed).integers(1, 2**63, (walks, steps, 1), dtype=np.uint64) | np.uint64(1)
     for j in range(steps):
         inside = at < lengths
         symbol = np.where(inside, words[rows, np.minimum(at, width - 1)], _PAD)
-        out[:, j] = symbol
-        at += ((mix(symbol * bits[j]) >> np.uint64(17)) & np.uint64(1)).astype(np.int64) & inside
+        out[:, :, j] = symbol
+        at += ((mix(symbol * bits[:, j]) >> np.uint64(17)) & np.uint64(1)).astype(np.int64) & inside
     return out
 
 
@@ -100,14 +101,12 @@ class Matcher:
     def _keys(rows, lengths, samples, n) -> np.ndarray:
         """Keys (tables, rows)."""
         out = np.empty((len(samples), len(rows)), np.uint64)
-        for walk in sorted({w for w, _ in samples}):
-            embedded = cgk(rows, lengths, 2 * n, walk + 101)
-            for t, (w, places) in enumerate(samples):
-                if w == walk:
-                    key = np.full(len(rows), t + 1, np.uint64)
-                    for p in places:
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + embedded[:, p])
-                    out[t] = key
+        embedded = cgk(rows, lengths, 2 * n, 1 + max(w for w, _ in samples))
+        for t, (w, places) in enumerate(samples):
+            key = np.full(len(rows), t + 1, np.uint64)
+            for p in places:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + embedded[w, :, p])
+            out[t] = key
         return out
 
     def find(self, texts: list) -> tuple[np.ndarray, ...]:
@@ -134,20 +133,20 @@ class Matcher:
             k = int(self.rate * n)
             need = n - 1 - 2 * k
             if need > 0:
-                # A match begins at a pair that is there, or at most k words before one.
+                # The first pair that no edit breaks is 2k words into a match at most.
                 mine = ((groups >> np.uint64(q % 64)) & np.uint64(1)).astype(bool)
                 here = live[mine]
                 upto = np.searchsorted(here, np.minimum(here + n + k - 1, end[here] - 1))
                 sums = np.concatenate([[0], np.cumsum(fresh_here[mine])])
                 i = np.arange(len(here))
                 near = here[(upto - i >= need) & (1 + sums[upto] - sums[i] >= fresh - 3 * k)]
-                starts = np.unique((near[:, None] - np.arange(k + 1)).ravel())
+                starts = np.unique((near[:, None] - np.arange(2 * k + 1)).ravel())
                 starts = starts[starts >= 0]
             else:
                 starts = np.arange(len(words))
             starts = starts[end[starts] - starts >= n - k]
-            for a in range(0, len(starts), 20_000):
-                found += self._verify(words, end, starts[a : a + 20_000], n, k, which, rows, samples, keys, order)
+            for a in range(0, len(starts), 2_000):
+                found += self._verify(words, end, starts[a : a + 2_000], n, k, which, rows, samples, keys, order)
         if not found:
             return none
         start, item, dist = (np.concatenate(x) for x in zip(*found))
@@ -191,7 +190,7 @@ def _matchers(items: DataFrame, id_col: str, text_col: str, block: int, **how):
         yield [r.id for r in got], Matcher([r.text for r in got], **how)
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, walks: int = 8, tables: int = 64, width: int = 3, block: int = 5_000) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, walks: int = 16, tables: int = 128, width: int = 2, block: int = 5_000) -> DataFrame:
     """One row for each document and item of which the document holds a window within
     ``rate`` times the item's words, rounded down, in edits of words (case of A-Z
     aside): the id, the item's id, ``distance``, ``item_words`` and ``first_word``
@@ -221,7 +220,7 @@ def _find_block(source: DataFrame, ids: list, matcher: Matcher, item_type: T.Dat
     return source.mapInArrow(run, T.StructType(fields))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, walks: int = 8, tables: int = 64, width: int = 3, block: int = 5_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, walks: int = 16, tables: int = 128, width: int = 2, block: int = 5_000) -> DataFrame:
     """``docs``, with all their columns, without the rows in which an item is found."""
     at = docs.columns.index(text_col)
     for _, matcher in _matchers(items, item_col, item_text_col, block, rate=rate, min_words=min_words, walks=walks, tables=tables, width=width):
