@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesseral.llm.common import _BYTE_CODE, bitmap_of, drop_written, in_bitmap, inverse_powers, mix, powers, text_slices, written
+from tesseral.llm.common import _BYTE_CODE, bitmap_of, in_bitmap, inverse_powers, mix, powers, text_slices, written
 
 GRAM = 16
 _POS = np.uint64((1 << 24) - 1)
@@ -78,7 +78,8 @@ def window_runs(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODE[raw] * powers(n), out=running[1:])
     content = mix((running[hi + length] - running[lo]) * inverse_powers(n)[lo] + (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix((a - lo).astype(np.uint64)))
-    return doc, a - starts[doc], lo - starts[doc], hi - starts[doc], grams[a].view(np.int64), content.view(np.int64)
+    # grams of anchors are small, as minima; mixed again they spread over all bits
+    return doc, a - starts[doc], lo - starts[doc], hi - starts[doc], mix(grams[a]).view(np.int64), content.view(np.int64)
 
 
 def pieces(column: pa.Array, length: int, most: int = 1 << 19):
@@ -288,12 +289,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("nd"), F.sum((F.col("c") == 1).cast("int")).alias("ones")).filter("nd > 1 AND ones > 0").select("gram", "nd")
     mixed = written(mixed, "mixed")
     wanted = spark.sparkContext.broadcast(bitmap_of(mixed.select(F.col("gram").alias("h"))))
-    contexts = _contexts(texts.select("text"), length, wanted).join(mixed, "gram")
-    contexts = written(contexts, "contexts")
-    blocks = max(1, -(-contexts.count() // block_runs))
-    usual = contexts.filter(F.col("nd") <= many).withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)))
-    spans = written(_merged(usual, length).unionByName(_counted(contexts.filter(F.col("nd") > many), length)), "spans")
-    drop_written(spark, contexts)
+    contexts = _contexts(texts.select("text"), length, wanted)
+    total, most = mixed.agg(F.coalesce(F.sum("nd"), F.lit(0)), F.coalesce(F.max("nd"), F.lit(0))).first()
+    blocks = max(1, -(-total // block_runs))
+    usual = contexts
+    if most > many:
+        hot = written(mixed.filter(F.col("nd") > many).select("gram"), "hot")
+        usual = contexts.join(hot, "gram", "left_anti")
+    spans = _merged(usual.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks))), length)
+    if most > many:
+        spans = spans.unionByName(_counted(contexts.join(hot, "gram", "left_semi"), length))
+    spans = written(spans, "spans")
     whole = runs.join(kinds.filter("c > 1").select("gram", "content"), ["gram", "content"]).select("uid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     parts = runs.join(spans, ["gram", "content"]).join(kinds.filter("c = 1").select("gram", "content"), ["gram", "content"], "left_semi").select("uid", (F.col("lo") + F.col("from")).alias("a"), (F.col("lo") + F.col("to") + length).alias("b"))
     gone = whole.unionByName(parts).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))  # of one document
