@@ -407,7 +407,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digests = written(source.mapInArrow(digest, f"id {id_type}, n bigint, key bigint, sketch array<bigint>"), "digests")
     ids = digests.select("id", "n", "key")
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(16, max(4, int(total // 2_000_000).bit_length()))
+    bits = min(18, max(4, int(total // 2_000_000).bit_length()))
     texts = source.select("text").filter("text IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(heavy_bitmap(texts, size, bits + 2))
     found = written(candidates(prefix_blocks(texts, size, bitmap, bits), bits), "candidates")
