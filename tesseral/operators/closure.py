@@ -8,6 +8,8 @@ task; a round canonicalizes, groups equal signatures and merges their classes.
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +80,9 @@ def close_rounds(nodes: DataFrame, equalities: DataFrame, max_rounds: int = 200)
     raise RuntimeError(f"closure needs more than {max_rounds} rounds")
 
 
-def close_kernel(nodes: list[tuple[int, str, tuple[int, ...]]], equalities: list[tuple[int, int]]) -> tuple[dict[int, int], int]:
-    """({id: least id of its class}, rounds with merges), for one instance.
+def close_kernel(nodes: list[tuple[int, str, tuple[int, ...]]], equalities: list[tuple[int, int]], deadline: float | None = None) -> tuple[dict[int, int], int]:
+    """({id: least id of its class}, rounds with merges), for one instance. Raises
+    TimeoutError in a round after ``deadline`` (of time.monotonic).
 
     Use lists move to the larger class; a round looks at the users of classes that
     the round before has changed, with the classes of its beginning."""
@@ -119,6 +122,8 @@ def close_kernel(nodes: list[tuple[int, str, tuple[int, ...]]], equalities: list
         merge(a, b)
     work, rounds = list(terms), 0
     while work:
+        if deadline is not None and time.monotonic() > deadline:
+            raise TimeoutError(f"no fixpoint after {rounds} rounds")
         first: dict[tuple, int] = {}
         pairs = []
         for i in work:

@@ -14,9 +14,9 @@ from tesseral.sources.scripts import parse_script
 SOLVED = "inst string, path string, verdict string, error string, n_nodes bigint, n_classes bigint, rounds int, parse_s double, build_s double, merge_s double, rebuild_s double, check_s double, solve_s double, total_s double"
 
 
-def solve_text(text: str | None) -> dict:
+def solve_text(text: str | None, limit_s: float = 300.0) -> dict:
     """One script in this process. ``verdict`` is sat, unsat, or ERROR with the
-    reason in ``error``; phases in seconds (merging is part of ``merge_s`` only as
+    reason in ``error``, or TIMEOUT if closure takes over ``limit_s``; phases in seconds (merging is part of ``merge_s`` only as
     far as classes are joined before congruence is looked for)."""
     row = parse_script(text)
     out = {"verdict": "ERROR", "error": row["error"], "n_nodes": None, "n_classes": None, "rounds": None, "parse_s": row["parse_s"], "build_s": row["build_s"], "merge_s": 0.0, "rebuild_s": 0.0, "check_s": 0.0}
@@ -25,7 +25,11 @@ def solve_text(text: str | None) -> dict:
         began = time.perf_counter()
         equal = [(c["a"], c["b"]) for c in row["constraints"] if c["kind"] == "eq"]
         merged = time.perf_counter()
-        rep, rounds = close_kernel(nodes, equal)
+        try:
+            rep, rounds = close_kernel(nodes, equal, time.monotonic() + limit_s)
+        except TimeoutError as e:
+            out |= {"verdict": "TIMEOUT", "error": str(e), "rebuild_s": time.perf_counter() - merged}
+            return out | {"solve_s": out["build_s"] + out["rebuild_s"], "total_s": out["parse_s"] + out["build_s"] + out["rebuild_s"]}
         closed = time.perf_counter()
         bad = any(rep[c["a"]] == rep[c["b"]] for c in row["constraints"] if c["kind"] == "neq")
         out |= {"verdict": "unsat" if bad else "sat", "n_nodes": len(nodes), "n_classes": len(set(rep.values())), "rounds": rounds, "merge_s": merged - began, "rebuild_s": closed - merged, "check_s": time.perf_counter() - closed}
@@ -34,16 +38,17 @@ def solve_text(text: str | None) -> dict:
     return out
 
 
-def solve_scripts(scripts: DataFrame) -> DataFrame:
+def solve_scripts(scripts: DataFrame, limit_s: float = 300.0) -> DataFrame:
     """``scripts`` (inst, path, text) to one row (:data:`SOLVED`) each, without a
-    shuffle: a script is parsed, closed and checked where it lies."""
+    shuffle: a script is parsed, closed and checked where it lies, in ``limit_s``
+    seconds at most."""
     names = [c.split()[0] for c in SOLVED.split(", ")]
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     types = [kinds[c.split()[1]] for c in SOLVED.split(", ")]
 
     def run(batches):
         for batch in batches:
-            rows = [solve_text(t) for t in batch.column(2).to_pylist()]
+            rows = [solve_text(t, limit_s) for t in batch.column(2).to_pylist()]
             cols = [pa.array([r[n] for r in rows], t) for n, t in zip(names[2:], types[2:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
 

@@ -170,3 +170,13 @@ def operation_stream(spark: SparkSession, workers: int, each: int, n: int, updat
 
 #: The five mixes of finds and unions, as update rate and spread.
 MIXES = {"A": (0.5, 0.99), "B": (0.05, 0.99), "C": (0.0, 0.99), "D": (0.05, "uniform"), "E": (1.0, 0.99)}
+
+
+def classes_after(stream: DataFrame, n: int, premerged: float = 0.3, seed: int = 42) -> DataFrame:
+    """(id, rep) of n elements after a stream's unions, with a share of ``n`` random
+    pairs merged before. Finds change nothing, and the order of unions doesn't matter."""
+    from tesseral.operators.components import singletons, union_all
+
+    first = union_pairs(stream.sparkSession, int(n * premerged), n, "uniform", seed)
+    pairs = first.union(stream.filter("op = 'union'").select(F.col("k1").alias("a"), F.col("k2").alias("b")))
+    return union_all(singletons(stream.sparkSession, n), pairs)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesseral.operators import closure, collect_reduce, components, diagnostics
+from tesseral.operators.termgraph import TermGraph
 from tesseral.plans.storage import shared_dir, written
 from tesseral.queries import QUERIES, SQL
 from tesseral.sources import generate
@@ -159,6 +160,38 @@ def test_workloads(spark):
     assert generate.operation_stream(spark, 2, 50, 10, 0.0).filter("op = 'find'").count() == 100
 
 
+def test_classes_after_a_stream(spark):
+    quiet = generate.classes_after(generate.operation_stream(spark, 2, 50, 100, 0.0), 100, 0.0)
+    assert quiet.filter("id = rep").count() == 100
+    busy = generate.classes_after(generate.operation_stream(spark, 4, 500, 100, 1.0), 100)
+    assert busy.count() == 100 and busy.select("rep").distinct().count() < 10
+
+
+@pytest.mark.parametrize("strategy", ["kernel", "rounds"])
+def test_term_graph(spark, strategy):
+    g = TermGraph(strategy, spark)
+    a, b = g.add("a"), g.add("b")
+    fa, fb = g.add("f", a), g.add("f", b)
+    gfa, gfb = g.add("g", fa, a), g.add("g", fb, b)
+    assert g.add("f", a) == fa and g.num_terms() == 6 and not g.equiv(a, b)
+    g.merge(a, b)
+    assert g.rebuild() == 2 and g.equiv(fa, fb) and g.equiv(gfa, gfb) and g.num_classes() == 3
+    assert g.rebuild() == 2 and g.num_classes() == 3 and g.add("f", b) == fa
+    assert g.lines() == ["3 classes, 6 terms", "class 0: {a, b}", "class 2: {f(0), f(1)}", "class 4: {g(2, 0), g(3, 1)}"]
+    many = TermGraph(strategy, spark, reserved=3)
+    leaves = [many.add(f"x{i}") for i in range(100)]
+    assert leaves[0] == 3
+    many.merge_all(zip(leaves, leaves[1:]))
+    many.rebuild()
+    assert many.num_classes() == 4 and many.equiv(leaves[0], leaves[99])
+
+
+def test_term_graph_refuses():
+    for wrong in (lambda: TermGraph("other"), lambda: TermGraph("rounds"), lambda: TermGraph().add("f", 0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_stream_of_scripts(spark, tmp_path):
     generate.write_instances(str(tmp_path / "in"), [("chain", 2)])
     go = lambda: watch_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)

@@ -97,6 +97,11 @@ def test_odd_scripts():
     assert solve_text("(declare-sort U 0)(declare-const a U)(push 1)(assert (= a a))(pop 1)(check-sat)(exit)")["verdict"] == "sat"
 
 
+def test_time_limit():
+    out = solve_text(generate.chain(50), limit_s=-1.0)
+    assert out["verdict"] == "TIMEOUT" and out["error"] and out["total_s"] >= 0
+
+
 def test_reader():
     assert read_all('(a |b c| "x ""y" 12 #xF) ; tail\nd') == [["a", "b c", '"x ""y"', "12", "#xF"], "d"]
     assert isinstance(read_all("12")[0], Literal) and show(["f", ["g", "a"], "b"]) == "(f (g a) b)"
