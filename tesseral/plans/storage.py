@@ -29,11 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tesseral-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back. ``compact``:
+    where many tasks make few rows each, in few files of the advisory size."""
     path = new_path(df.sparkSession, name)
+    schema = df.schema
+    df = df.hint("rebalance") if compact else df
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
