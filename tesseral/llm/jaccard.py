@@ -404,13 +404,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(words)]), pa.int32()), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(n, pa.int64()), pa.array(keys), sketch], names=["id", "n", "key", "sketch"])
 
-    digests = written(source.mapInArrow(digest, f"id {id_type}, n bigint, key bigint, sketch array<bigint>"), "digests")
+    digests = written(source.mapInArrow(digest, f"id {id_type}, n bigint, key bigint, sketch array<bigint>"), "digests", compact=True)
     ids = digests.select("id", "n", "key")
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(18, max(4, int(total // 2_000_000).bit_length()))
     texts = source.select("text").filter("text IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(heavy_bitmap(texts, size, bits + 2))
-    found = written(candidates(prefix_blocks(texts, size, bitmap, bits), bits), "candidates")
+    found = written(candidates(prefix_blocks(texts, size, bitmap, bits), bits), "candidates", compact=True)
     pairs = written(found.filter("kind = 1").groupBy("a", "b").agg(F.bit_or("m").alias("m")).filter("m = 3").select("a", "b"), "met")
     heavy = found.filter("kind = 2").select(F.col("a").alias("element"), F.col("b").alias("key"), F.col("m").alias("n"), F.col("s").alias("share")).distinct()
     several = heavy.groupBy("element").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("element")
@@ -423,7 +423,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = written(_plausible(pairs, sketches), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(heavy.select("key")).distinct()
     wanted = spark.sparkContext.broadcast(bitmap_of(wanted.join(classes, "key").select(F.xxhash64("rep").alias("h"))))
-    sets = written(_set_table(source.select("text", F.xxhash64("id").alias("h")), size, wanted), "sets")
+    sets = written(_set_table(source.select("text", F.xxhash64("id").alias("h")), size, wanted), "sets", compact=True)
     labels = _links(spark, pairs, heavy, sketches, sets)
     drop_written(spark, sets)
     named = classes.join(labels, "key", "left")
