@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     uid = F.monotonically_increasing_id().alias("uid")
     texts = docs.select(uid, F.col(text_col).alias("text"))
-    runs = written(_runs(texts, length), "runs")
+    runs = written(_runs(texts, length), "runs", compact=True)
     kinds = runs.groupBy("gram", "content").agg(F.count("*").alias("c"))
     kinds = written(kinds, "kinds")
     # contents of an anchor that need a closer look: several, and not all of them repeats as a whole
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = _merged(usual.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks))), length)
     if most > many:
         spans = spans.unionByName(_counted(contexts.join(hot, "gram", "left_semi"), length))
-    spans = written(spans, "spans")
+    spans = written(spans, "spans", compact=True)
     whole = runs.join(kinds.filter("c > 1").select("gram", "content"), ["gram", "content"]).select("uid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     parts = runs.join(spans, ["gram", "content"]).join(kinds.filter("c = 1").select("gram", "content"), ["gram", "content"], "left_semi").select("uid", (F.col("lo") + F.col("from")).alias("a"), (F.col("lo") + F.col("to") + length).alias("b"))
     gone = whole.unionByName(parts).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))  # of one document
