@@ -107,10 +107,17 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
             for part in pieces(batch.column(1), length):
                 doc, a, lo, hi, gram, content = window_runs([d for _, _, d in part], length)
                 text, at = np.array([i for i, _, _ in part])[doc], np.array([x for _, x, _ in part])[doc]
-                cols = (uid[text], gram, content, a + at, lo + at, hi + at)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["uid", "gram", "content", "at", "lo", "hi"])
+                # Text that repeats a pattern has one content very often; its places go in one row.
+                order = np.lexsort((content, gram, text))
+                text, gram, content, lo, span = text[order], gram[order], content[order], (lo + at)[order], (hi - lo)[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
+                first = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(lo)), pa.int32()), pa.array(lo))
+                cols = (pa.array(uid[text[first]]), pa.array(gram[first]), pa.array(content[first]), pa.array(span[first], pa.int32()), places)
+                yield pa.RecordBatch.from_arrays(list(cols), names=["uid", "gram", "content", "span", "places"])
 
-    return texts.mapInArrow(run, "uid bigint, gram bigint, content bigint, at bigint, lo bigint, hi bigint")
+    return texts.mapInArrow(run, "uid bigint, gram bigint, content bigint, span int, places array<bigint>")
 
 
 def _contexts(texts: DataFrame, length: int, wanted) -> DataFrame:
@@ -283,7 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     uid = F.monotonically_increasing_id().alias("uid")
     texts = docs.select(uid, F.col(text_col).alias("text"))
     runs = written(_runs(texts, length), "runs", compact=True)
-    kinds = runs.groupBy("gram", "content").agg(F.count("*").alias("c"))
+    kinds = runs.groupBy("gram", "content").agg(F.sum(F.size("places")).alias("c"))
     kinds = written(kinds, "kinds")
     # contents of an anchor that need a closer look: several, and not all of them repeats as a whole
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("nd"), F.sum((F.col("c") == 1).cast("int")).alias("ones")).filter("nd > 1 AND ones > 0").select("gram", "nd")
@@ -300,9 +307,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if most > many:
         spans = spans.unionByName(_counted(contexts.join(hot, "gram", "left_semi"), length))
     spans = written(spans, "spans", compact=True)
-    whole = runs.join(kinds.filter("c > 1").select("gram", "content"), ["gram", "content"]).select("uid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    parts = runs.join(spans, ["gram", "content"]).join(kinds.filter("c = 1").select("gram", "content"), ["gram", "content"], "left_semi").select("uid", (F.col("lo") + F.col("from")).alias("a"), (F.col("lo") + F.col("to") + length).alias("b"))
-    gone = whole.unionByName(parts).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))  # of one document
+    whole = runs.join(kinds.filter("c > 1").select("gram", "content"), ["gram", "content"]).select("uid", "places", F.lit(0).alias("from"), F.col("span").alias("to"))
+    parts = runs.join(spans, ["gram", "content"]).join(kinds.filter("c = 1").select("gram", "content"), ["gram", "content"], "left_semi").select("uid", "places", "from", "to")
+    gone = whole.unionByName(parts).groupBy("uid").agg(F.collect_list(F.struct("places", "from", "to")).alias("gone"))  # of one document
     both = docs.select(F.col(id_col).alias("id"), uid, F.col(text_col).alias("text")).join(gone, "uid", "left").select("id", "text", "gone")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
@@ -313,8 +320,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = b"" if text is None else text.encode("utf-8", "surrogatepass")
                 kept, n_spans = data, 0
                 if spans.is_valid and len(spans):
-                    flat = spans.values
-                    a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                    places, low, high = (spans.values.field(k) for k in range(3))
+                    times = places.value_lengths().to_numpy(zero_copy_only=False)
+                    a = places.flatten().to_numpy()
+                    a, b = a + np.repeat(low.to_numpy(), times), a + np.repeat(high.to_numpy(), times) + length
                     by = np.argsort(a, kind="stable")
                     a, b = a[by], np.maximum.accumulate(b[by])
                     new = np.concatenate([[True], a[1:] > b[:-1]])
