@@ -100,7 +100,7 @@ def same_set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Are the part and the supplier of a line in one component; unknown ids are
     alone."""
     rep = _bipartite(spark, sf_dir)
-    asked = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
+    asked = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
     return components.same_set(asked, rep, "a", "b")
 
 
@@ -306,7 +306,7 @@ SQL = {
     "cc_lineitem_cascade": f"""{_ORDERS}, p AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS part_rep FROM part)
         SELECT o.class_rep AS order_rep, part_rep, count(*) AS n_lines FROM lineitem JOIN o ON l_orderkey = o_orderkey JOIN p ON l_partkey = p_partkey GROUP BY 1, 2""",
     "uf_part_supplier_components": f"{_BIPARTITE} SELECT vertex, component FROM k",
-    "same_set_pairs": f"""{_BIPARTITE}, q AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49)
+    "same_set_pairs": f"""{_BIPARTITE}, q AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem)
         SELECT q.a, q.b, coalesce(x.component, q.a) = coalesce(y.component, q.b) AS same FROM q LEFT JOIN k x ON q.a = x.vertex LEFT JOIN k y ON q.b = y.vertex""",
     "diseq_check": f"""WITH c AS ({_CUSTOMERS}), l AS (SELECT c_nationkey, c_custkey AS a, lead(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer),
         v AS (SELECT l.c_nationkey, bool_or(x.class_rep = y.class_rep) AS bad FROM l JOIN c x ON l.a = x.c_custkey JOIN c y ON l.b = y.c_custkey GROUP BY 1)
