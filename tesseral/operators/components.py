@@ -26,21 +26,22 @@ def singletons(spark: SparkSession, n: int) -> DataFrame:
 
 
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest member of each element's class, for edges over 0 to n - 1: labels
-    fall along edges and jump to their labels' labels until none changes."""
+    """Smallest member of each element's class, for edges over 0 to n - 1: the larger
+    root of an edge hooks onto the smaller, labels jump to their roots, and edges
+    within a class are dropped."""
     label = np.arange(n)
     while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
+        a, b = label[a], label[b]
+        live = a != b
+        a, b = a[live], b[live]
+        if not len(a):
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while True:
             jumped = label[label]
             if (jumped == label).all():
                 break
             label = jumped
-        if (label == before).all():
-            return label
 
 
 def _small(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,10 +76,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tup
     Raises RuntimeError if ``max_rounds`` don't suffice."""
     spark, keys = edges.sparkSession, list(keys)
     pairs = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    pairs = written(pairs.distinct(), "edges")
+    pairs = written(pairs, "edges")
     if pairs.count() <= small:
         return _small(pairs, keys)
-    state, marks, own = pairs.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
+    state, marks, own = pairs.filter("u <> v").distinct().select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
     for _ in range(max_rounds):
         both = state.union(state.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
