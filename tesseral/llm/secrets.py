@@ -275,7 +275,9 @@ def fit_field(examples: list[tuple[list[list[int]], list[int]]], steps: int = 15
     emit, move, first = parts
     emit -= emit[0]  # relative to O
     free = np.delete(emit, range(len(_SHAPES) + len(_LENGTHS) + 1), axis=1)
-    gain = max(np.clip(free[t], 0, None).sum() for t in (1, 2)) + np.ptp(np.delete(move.ravel(), 2)) + abs(first[1] - first[0])
+    # What else can speak for a tag beside O: the token's other features, its two moves, the
+    # start, and the next token's change from I to B when a secret begins later instead.
+    gain = max(np.clip(free[t], 0, None).sum() for t in (1, 2)) + 2 * np.ptp(np.delete(move.ravel(), 2)) + np.ptp(first[:2]) + np.abs(emit[2] - emit[1]).sum()
     emit[1:, 0] = np.minimum(emit[1:, 0], -gain - 1)  # plain tokens never gain
     return SecretField(emit.round(9), move.round(9), first.round(9))
 
