@@ -219,3 +219,16 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_part_supplier_queries_over_all_line_items(spark, tmp_path):
+    rng = random.Random(4)
+    lines = [(20 * g + rng.randrange(9), 20 * g + rng.randrange(5), rng.choice([50.0, 7.0]), rng.choice([0.1, 0.0])) for g in range(6) for _ in range(8)]
+    spark.createDataFrame(lines, "l_partkey bigint, l_suppkey bigint, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = sorted({(p * 2, s * 2 + 1) for p, s, _, _ in lines})
+    rep = plain_classes(pairs)
+    assert len(set(rep.values())) > 6
+    rows = lambda name, *cols: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select(*cols).collect())
+    assert rows("uf_part_supplier_components_all", "vertex", "component") == sorted(rep.items())
+    assert rows("same_set_pairs_all", "a", "b", "same") == [(a, b, True) for a, b in pairs]
+    assert rows("canonical_terms_all", "id", "shown") == sorted((a * 1_000_000 + b, f"supplies({rep[a]}, {rep[b]}, {rep[a]})") for a, b in pairs)
