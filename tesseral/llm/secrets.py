@@ -195,10 +195,17 @@ class SecretField:
 
 
 def all_spans(text: str, field: SecretField) -> tuple[list, list]:
-    """The patterns' spans, and these with the field's spans that touch none."""
+    """The patterns' spans, and these with the field's spans, whole, of which some
+    character lies outside them."""
     base = base_spans(text)
-    taken = sorted((a, b) for a, _, b in base)
-    more = [(a, 3, b) for a, b in field.spans(text) if not any(x < b and a < y for x, y in taken)]
+    more = []
+    for a, b in field.spans(text):
+        at = a  # the first character that no pattern covers
+        for x, _, y in base:
+            if x <= at < y:
+                at = y
+        if at < b:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 

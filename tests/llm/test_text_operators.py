@@ -108,6 +108,24 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(docs.filter("false"), secrets.learn_field(docs.filter("false"))).count() == 0
 
 
+class Fixed:
+    def __init__(self, *spans):
+        self.spans = lambda text: list(spans)
+
+
+def test_field_spans_beside_patterns(spark):
+    text = "password=Zq3vT8$yLm2Xw9RbK4 and"
+    assert secrets.all_spans(text, Fixed((0, 27)))[1] == [(0, 0, 15), (0, 3, 27)]
+    assert secrets.all_spans(text, Fixed((9, 15)))[1] == [(0, 0, 15)]
+    several = "secret: abcdef12 Qx7Lm2Pz9Rt"
+    assert secrets.all_spans(several, Fixed((8, 28)))[1] == [(0, 0, 16), (8, 3, 28)]
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    field = secrets.SecretField(np.zeros((3, secrets._N_FEATURES)), np.zeros((3, 3)), np.zeros(3))
+    field.emit[1, secrets._SHAPES.index("mixed")], field.emit[2] = 9, -9
+    got = secrets.scan_secrets(docs, field, redacted_col="clean").collect()
+    assert got[0].clean == "[SECRET] and" and got[0].spans == "assign:0:15,crf:0:27"
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     field = secrets.SecretField(rng.normal(size=(3, secrets._N_FEATURES)), rng.normal(size=(3, 3)), rng.normal(size=3))
