@@ -6,16 +6,20 @@ tag sequence is found by Viterbi. The field is trained here, by its conditional
 likelihood, on a bounded sample of documents whose tags come from the patterns,
 and on generated lines with kinds of secrets that the patterns don't know.
 
-Tokens without an ASCII digit, or of fewer than eight characters, are *plain*.
-Training ends by lowering the weights of the plain shape until no plain token can
-gain from a tag other than O beside it more than it loses, so only windows around
-the other tokens have to be decoded; all further tokens are O in the best sequence.
+Tokens without an ASCII digit, or of fewer than eight characters, are *plain*; they
+may be tagged like others. Every token counts in the best sequence, with the weights
+as trained. Far from *loud* tokens (those that can switch a feature on, their own or
+a neighbour's) all tokens have the same features; where the weights prove that such
+a token is O whatever its neighbours are, the runs between are decoded apart, which
+gives the same tags. Where they don't, the whole text is decoded.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from bisect import bisect_right
+from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -35,7 +39,11 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
 _SPACE = frozenset(" \t\n\v\f\r")
 _KEYWORDS = re.compile(r"(?:pass(?:word|wd)?|secret|token|api_?key|key|bearer|credential|auth|private)s?\W*$", re.I | re.A)
-_REACH = 4  # plain tokens decoded on each side
+_MARK = re.compile(r"[0-9=:@/+_\"'`-]")
+_STEMS = ("pass", "secret", "token", "key", "bearer", "credential", "auth", "private")
+_STEM = re.compile("|".join(_STEMS), re.I | re.A)
+_REACH = 4  # plain tokens trained on at each side
+_AROUND = 1  # short plain words decoded at each end of a run
 _TAGS = 3  # O, B, I
 
 
@@ -60,7 +68,7 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 _SHAPES = ("plain", "hex", "mixed", "upper_digit", "lower_digit", "numeric", "other")
 _LENGTHS = (8, 12, 16, 20, 32, 64)
-_N_FEATURES = len(_SHAPES) + len(_LENGTHS) + 1 + 3 + 3 + 1 + 2 + 3
+_N_FEATURES = len(_SHAPES) + len(_LENGTHS) + 1 + 3 + 3 + 1 + 2 + 3 + len(_LENGTHS) - 1
 
 
 def _shape(word: str) -> int:
@@ -75,75 +83,76 @@ def _shape(word: str) -> int:
     return 3 if upper else 4 if lower else 5 if re.fullmatch(r"[0-9.,:/%+-]+", core) else 6
 
 
-def token_features(words: list[str], has_keyword: bool, digit_share: float) -> list[list[int]]:
-    """Numbers of the features that are on, for each token of a window."""
-    out = []
-    for i, word in enumerate(words):
-        shape = _shape(word)
-        on = [shape]
-        at = len(_SHAPES)
-        if shape:
-            core = word.strip("\"'`,.;:!?()[]{}<>#$%&*|")
-            on.append(at + sum(len(core) >= x for x in _LENGTHS[1:]))
-            on += [at + len(_LENGTHS)] * (len(set(core)) >= 0.4 * min(len(core), 40))
-        at += len(_LENGTHS) + 1
-        before = words[i - 1] if i else ""
-        on += [at] * bool(_KEYWORDS.search(before)) + [at + 1] * (before[-1:] in ("=", ":") and before != "") + [at + 2] * (not before)
-        at += 3
-        two = words[i - 2] if i > 1 else ""
-        on += [at] * (bool(_KEYWORDS.search(two)) and before in ("=", ":", "is", "=>", ":=")) + [at + 1] * (bool(before) and _shape(before) > 0)
-        on += [at + 2] * bool(re.search(r"(?:pass|secret|token|key|auth|sig)\w*[\"']?[=:]", word, re.I | re.A))
-        at += 3
-        after = words[i + 1] if i + 1 < len(words) else ""
-        on += [at] * (bool(after) and _shape(after) > 0)
-        at += 1
-        on += [at] * has_keyword + [at + 1] * (digit_share > 0.05)
-        at += 2
-        on += [at] * bool(re.search(r"[@/]|://", word)) + [at + 1] * bool(re.search(r"[+/=_-]", word)) + [at + 2] * (word[:1] in "\"'`")
-        out.append(on)
-    return out
+@lru_cache(50_000)
+def _word(word: str) -> tuple[int, list[int], list[int], bool, bool]:
+    """Shape, features of shape and length, further own features, and whether the
+    word is a keyword or ends in an assignment."""
+    shape, core = _shape(word), word.strip("\"'`,.;:!?()[]{}<>#$%&*|")
+    size = sum(len(core) >= x for x in _LENGTHS[1:])
+    form, own, at = [shape], [], len(_SHAPES)
+    if shape:
+        form.append(at + size)
+        form += [at + len(_LENGTHS)] * (len(set(core)) >= 0.4 * min(len(core), 40))
+    at = _N_FEATURES - (len(_LENGTHS) - 1) - 3
+    own += [at] * bool(re.search(r"[@/]|://", word)) + [at + 1] * bool(re.search(r"[+/=_-]", word)) + [at + 2] * (word[:1] in "\"'`")
+    if not shape and size:  # letters only: how many
+        own.append(at + 3 + size - 1)
+    return shape, form, own, bool(_KEYWORDS.search(word)), word[-1:] in ("=", ":")
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens, as (start, end), around the tokens that are not plain."""
-    regions, at, n = [], 0, len(text)
-    while m := _DIGIT.search(text, at):
-        start = end = m.start()
-        while start > at and text[start - 1] not in _SPACE:
-            start -= 1
-        hit = _TOKEN.match(text, end)
-        at = end = hit.end()
-        if end - start >= 8:
-            a, b = max(0, start - 160), min(n, end + 160)
-            if regions and a <= regions[-1][1]:
-                regions[-1][1] = b
-                regions[-1][2].append(start)
-            else:
-                regions.append([a, b, [start]])
+_NO_WORD = (0, [], [], False, False)
+_ASSIGNED = re.compile(r"(?:pass|secret|token|key|auth|sig)\w*[\"']?[=:]", re.I | re.A)
+
+
+def token_features(words: list[str], has_keyword: bool, digit_share: float, which: range | None = None) -> list[list[int]]:
+    """Numbers of the features that are on, for each token, or for some of them."""
     out = []
-    for a, b, starts in regions:
-        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-        if tokens and a and text[a - 1] not in _SPACE and tokens[0][0] == a and a not in starts:
-            tokens = tokens[1:]  # its first part lies outside
-        if tokens and b < n and text[b] not in _SPACE and tokens[-1][1] == b:
-            tokens = tokens[:-1]
-        where = {t[0]: k for k, t in enumerate(tokens)}
-        near = np.zeros(len(tokens), bool)
-        for s in starts:
-            if s in where:
-                near[max(0, where[s] - _REACH) : where[s] + _REACH + 1] = True
-        run: list = []
-        for k, token in enumerate(tokens):
-            if near[k]:
-                run.append(token)
-            elif run:
-                out.append(run)
-                run = []
-        if run:
-            out.append(run)
+    known = [_word(w) for w in words]
+    first = len(_SHAPES) + len(_LENGTHS) + 1
+    file = [first + 7] * has_keyword + [first + 8] * (digit_share > 0.05)
+    for i in range(len(words)) if which is None else which:
+        shape, form, own, *_ = known[i]
+        on = [*form]
+        before, two = known[i - 1] if i else _NO_WORD, known[i - 2] if i > 1 else _NO_WORD
+        on += [first] * before[3] + [first + 1] * before[4] + [first + 2] * (not i)
+        on += [first + 3] * (two[3] and words[i - 1] in ("=", ":", "is", "=>", ":=")) + [first + 4] * (before[0] > 0)
+        on += [first + 5] * bool(("=" in words[i] or ":" in words[i]) and _ASSIGNED.search(words[i]))
+        on += [first + 6] * (i + 1 < len(words) and known[i + 1][0] > 0)
+        out.append([*on, *file, *own])
     return out
 
 
+def text_tokens(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def _joined(spans) -> list[tuple[int, int]]:
+    """Ranges of places (first, last) in order, those that meet made one."""
+    out: list = []
+    for a, b in spans:
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def loud_runs(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of tokens (first, last) outside of which each token and ``_AROUND`` on
+    each side have the features of a short plain word among such words. A token's
+    features come from it, two tokens before and one after."""
+    hits = [m.start() for m in _MARK.finditer(text)]
+    lowered = text.lower()
+    if any(h in lowered for h in _STEMS):
+        hits += [m.start() for m in _STEM.finditer(text)]
+    starts = [a for a, _ in tokens]
+    loud = {bisect_right(starts, h) - 1 for h in hits}
+    loud.update(i for i, (a, b) in enumerate(tokens) if b - a >= _LENGTHS[1])
+    last = len(tokens) - 1
+    inner = [(max(0, i - 1 - _AROUND), min(last, i + 2 + _AROUND)) for i in sorted(loud)]
+    return _joined([(0, min(last, _AROUND)), *inner, (max(0, last - _AROUND), last)])
+
+
 def _file_features(text: str) -> tuple[bool, float]:
     lowered = text.lower()
     raw = text.encode("utf-8", "surrogatepass")
@@ -158,32 +167,76 @@ class SecretField:
     move: np.ndarray
     first: np.ndarray
 
-    def decode(self, on: list[list[int]]) -> list[int]:
-        """The best tags of one window, by Viterbi; ties go to the smaller tag."""
-        score = np.array([self.emit[:, f].sum(axis=1) for f in on])
-        best, back = self.first + score[0], []
-        for row in score[1:]:
-            paths = best[:, None] + self.move
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + row
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+    known: dict = field(default_factory=dict, repr=False, compare=False)  # emissions, by features
+
+    def _emission(self, on: list[int]) -> list[float]:
+        key = tuple(on)
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[key] = self.emit[:, on].sum(axis=1).tolist()
+        return self.known[key]
+
+    def decode(self, on: list[list[int]], start: bool = True, end: bool = True) -> list[int]:
+        """The best tags of tokens, by Viterbi; ties go to the smaller tag. Without
+        ``start`` (``end``) an O stands before (after) them."""
+        move, every = self.move.tolist(), range(_TAGS)
+        row = self._emission(on[0])
+        best, back = [(self.first[t] if start else move[0][t]) + row[t] for t in every], []
+        for f in on[1:]:
+            row, paths, frm = self._emission(f), [], []
+            for t in every:
+                a, b, c = best[0] + move[0][t], best[1] + move[1][t], best[2] + move[2][t]
+                p, top = (0, a) if a >= b and a >= c else (1, b) if b >= c else (2, c)
+                paths.append(top + row[t])
+                frm.append(p)
+            best = paths
+            back.append(frm)
+        if not end:
+            best = [best[t] + move[t][0] for t in every]
+        tags = [best.index(max(best))]
+        for frm in reversed(back):
+            tags.append(frm[tags[-1]])
         return tags[::-1]
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        found = windows(text)
-        if not found:
-            return []
+    def quiet(self, has_keyword: bool, digit_share: float) -> bool:
+        """Among short plain words, is one with ``_AROUND`` of them on each side O in
+        the best sequence, whatever tags stand before and behind these?"""
+        e = self._emission(token_features(["a"] * 4, has_keyword, digit_share, range(2, 3))[0])
+        step, best = self.move + np.array(e), lambda x, y: (x[:, :, None] + y[None]).max(axis=1)
+        before, behind = step, self.move
+        for _ in range(_AROUND):
+            before, behind = best(before, step), best(step, behind)
+        paths = before[:, :, None] + behind[None]  # tag before all, own tag, tag behind all
+        return bool((paths[:, 0] > paths[:, 1:].max(axis=1) + 1e-6).all())
+
+    def tags(self, text: str, tokens: list[tuple[int, int]], whole: bool = False) -> dict[int, int]:
+        """Tags other than O by the token's place; ``whole`` decodes in one piece."""
+        last = len(tokens) - 1
+        if last < 0:
+            return {}
         file = _file_features(text)
+        key = ("quiet", file[0], file[1] > 0.05)
+        if key not in self.known:
+            self.known[key] = self.quiet(*file)
+        found = {}
+        for a, b in loud_runs(text, tokens) if self.known[key] and not whole else [(0, last)]:
+            lo = max(0, a - 2)
+            words = [text[x:y] for x, y in tokens[lo : b + 2]]
+            got = self.decode(token_features(words, *file, range(a - lo, b + 1 - lo)), a == 0, b == last)
+            found |= {a + k: t for k, t in enumerate(got) if t}
+        return found
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        tokens = text_tokens(text)
+        tags = self.tags(text, tokens)
         out = []
-        for tokens in found:
-            tags = self.decode(token_features([text[a:b] for a, b in tokens], *file))
-            for (a, b), tag in zip(tokens, tags):
-                if tag == 1 or tag == 2 and not out:
-                    out.append([a, b])
-                elif tag == 2:
-                    out[-1][1] = b
+        for k, tag in tags.items():
+            a, b = tokens[k]
+            if tag == 1 or k - 1 not in tags:
+                out.append([a, b])
+            else:
+                out[-1][1] = b
         trimmed = []
         for a, b in out:
             part = text[a:b]
@@ -210,13 +263,16 @@ def all_spans(text: str, field: SecretField) -> tuple[list, list]:
 
 
 def _examples(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """Windows of a text with tags from the patterns: B where a match ends."""
-    base, file = base_spans(text), _file_features(text)
-    out = []
-    for tokens in windows(text):
-        tags = [int(any(a < e <= b or a <= s < b and k > 0 for s, k, e in base)) for a, b in tokens]
-        out.append((token_features([text[a:b] for a, b in tokens], *file), tags))
-    return out
+    """Tokens near those that are not plain or in which a match ends, with tags from
+    the patterns: B where a match ends."""
+    base, tokens = base_spans(text), text_tokens(text)
+    if not base and not _DIGIT.search(text):
+        return []
+    file, words = _file_features(text), [text[a:b] for a, b in tokens]
+    tags = [int(any(a < e <= b or a <= s < b and k > 0 for s, k, e in base)) for a, b in tokens] if base else [0] * len(tokens)
+    last = len(tokens) - 1
+    near = [(max(0, i - _REACH), min(last, i + _REACH)) for i, w in enumerate(words) if tags[i] or len(w) >= 8 and _DIGIT.search(w)]
+    return [(token_features(words, *file, range(a, b + 1)), tags[a : b + 1]) for a, b in _joined(near)]
 
 
 def _generated(n: int = 240, seed: int = 5) -> list[tuple[list[list[int]], list[int]]]:
@@ -239,6 +295,21 @@ def _generated(n: int = 240, seed: int = 5) -> list[tuple[list[list[int]], list[
         tail = [pick(low, int(rng.integers(2, 9))) for _ in range(4)]
         text_share = sum(c.isdigit() for w in words for c in w) / sum(map(len, words))
         out.append((token_features(words + tail, kind < 3 or bool(rng.integers(2)), text_share), tags + [0] * 4))
+    letters = alnum[:52]
+    for i in range(n):  # secrets of letters only, plain words within secrets, and words that are none
+        words = [pick(low, int(rng.integers(2, 12))) for _ in range(int(rng.integers(3, 7)))]
+        lead = [["key", "="], ["Bearer"], ["secret:"], ["auth", ":"], ["password", "is"]][int(rng.integers(5))]
+        kind = i % 6
+        if kind < 2:
+            body = [pick((letters, low)[kind], int(rng.integers(18, 44)))]
+        elif kind == 2:
+            body = [pick(alnum, int(rng.integers(20, 44))) + "1", pick(low, int(rng.integers(3, 10))), pick(alnum, int(rng.integers(20, 44))) + "1"]
+        else:
+            body = [pick(low, int(rng.integers(2, 14)))] if kind < 5 else [pick(low, int(rng.integers(12, 50)))]
+            lead = lead if kind < 5 else []
+        tail = [pick(low, int(rng.integers(2, 12))) for _ in range(4)]
+        tags = [0] * (len(words) + len(lead)) + ([1] + [2] * (len(body) - 1) if kind < 3 else [0]) + [0] * 4
+        out.append((token_features(words + lead + body + tail, kind < 5 or bool(rng.integers(2)), 0.0), tags))
     return out
 
 
@@ -281,11 +352,6 @@ def fit_field(examples: list[tuple[list[list[int]], list[int]]], steps: int = 15
             w += 0.15 * (mean[q] / (1 - 0.9**step)) / (np.sqrt(square[q] / (1 - 0.99**step)) + 1e-8)
     emit, move, first = parts
     emit -= emit[0]  # relative to O
-    free = np.delete(emit, range(len(_SHAPES) + len(_LENGTHS) + 1), axis=1)
-    # What else can speak for a tag beside O: the token's other features, its two moves, the
-    # start, and the next token's change from I to B when a secret begins later instead.
-    gain = max(np.clip(free[t], 0, None).sum() for t in (1, 2)) + 2 * np.ptp(np.delete(move.ravel(), 2)) + np.ptp(first[:2]) + np.abs(emit[2] - emit[1]).sum()
-    emit[1:, 0] = np.minimum(emit[1:, 0], -gain - 1)  # plain tokens never gain
     return SecretField(emit.round(9), move.round(9), first.round(9))
 
 

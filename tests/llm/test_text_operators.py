@@ -141,6 +141,25 @@ def test_plain_tokens_are_never_secrets():
     assert field.decode(secrets.token_features(words, True, 0.2)) == [0] * 6
 
 
+def test_plain_secrets_are_found_and_runs_equal_the_whole():
+    field = secrets.fit_field(secrets._generated())
+    found = lambda t: [t[a:b] for a, b in field.spans(t)]
+    assert found("she said the password is correcthorsebatterystaple and left") == ["correcthorsebatterystaple"]
+    assert found("use Bearer QwErTyUiOpAsDfGhJkLz for it") == ["QwErTyUiOpAsDfGhJkLz"]
+    several = "Zq3vT8yLm2Xw9RbK4nCd7H1 orange Yk5mW2sPq8Vt3JxB6rFz1"
+    assert found(f"the secret: {several} was sent out") == [several]
+    assert found("the password is required and internationalisation took ages") == []
+    rng = np.random.default_rng(5)
+    some = ["plain", "word", "is", "=", "secret:", "Bearer", "key", "'quoted", "Zq3vT8yLm2Xw9RbK4nCd7H1", "12/2024", "correcthorsebatterystaple", "x-y", "2024-01-02"]
+    random = secrets.SecretField(rng.normal(size=field.emit.shape), rng.normal(size=(3, 3)), rng.normal(size=3))
+    assert field.quiet(True, 0.0) and field.quiet(False, 0.0)
+    for f in (field, random):
+        for _ in range(150):
+            t = " ".join(rng.choice(some, p=[0.4, 0.4, *[0.2 / 11] * 11]) for _ in range(60))
+            spans = secrets.text_tokens(t)
+            assert f.tags(t, spans) == f.tags(t, spans, whole=True)
+
+
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_token_attribution(spark, rule):
     docs = odd(spark).union(spark.createDataFrame([(8, "a\n\n\n  b\n  é🙂\n\n", "x", 0.0, "k")], "doc_id bigint, text string, source string, score double, section string"))
