@@ -1,18 +1,12 @@
 """Benchmark decontamination: passages of a benchmark in documents, up to edits.
 
-Texts are sequences of word hashes. A window of the size of an item is embedded by
-CGK random walks: at each step the current word is written, and a random bit of the
-step and the word says whether the walk moves on. Close windows in edit distance
-become close in Hamming distance, so samples of a few written places, many times
-over, retrieve the item. The exact edit distance of words then decides.
-
-``tables`` samples of ``width`` places from ``walks`` walks: a pair whose embeddings
-differ at a share h of the places is missed with probability (1-(1-h)^width)^tables;
-for the defaults and h = 0.75, 0.0003. Windows are embedded only where a lossless
-count allows a match: each edit breaks at most two of an item's word pairs, so a
-window within k edits of an item of n words has n - 1 - 2k of them at least. Of the
-item's pairs that differ from the pair before, r in number, an edit can also make
-one more equal to it, so r - 3k such pairs are there at least.
+Texts are sequences of word hashes. Windows and items are compared only where
+lossless counts allow a match, and then by the exact edit distance of words: each
+edit breaks at most two of an item's word pairs, so a window within k edits of an
+item of n words has n - 1 - 2k of them at least. This is counted first for all
+items of a size together, then for each item. Of the item's pairs that differ from
+the pair before, r in number, an edit can also make one more equal to it, so r - 3k
+such pairs are there at least.
 """
 
 from __future__ import annotations
@@ -28,21 +22,6 @@ from tesseral.llm.common import block_number, mix, slices, word_hashes
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
 
-def cgk(words: np.ndarray, lengths: np.ndarray, steps: int, walks: int, seed: int = 101) -> np.ndarray:
-    """Embeddings (walks, rows, steps) of the rows of ``words``, of which ``lengths``
-    words count; a walk that is through writes a filler."""
-    n, width = words.shape
-    at, rows = np.zeros((walks, n), np.int64), np.arange(n)
-    out = np.empty((walks, n, steps), np.uint64)
-    bits = np.random.default_rng(seed).integers(1, 2**63, (walks, steps, 1), dtype=np.uint64) | np.uint64(1)
-    for j in range(steps):
-        inside = at < lengths
-        symbol = np.where(inside, words[rows, np.minimum(at, width - 1)], _PAD)
-        out[:, :, j] = symbol
-        at += ((mix(symbol * bits[:, j]) >> np.uint64(17)) & np.uint64(1)).astype(np.int64) & inside
-    return out
-
-
 def edit_distance(items: np.ndarray, windows: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
     """For each row the least edit distance of the item (all of one length) to a
     prefix of its window, of which ``lengths`` words count; over ``most``: most + 1.
@@ -72,23 +51,19 @@ def edit_distance(items: np.ndarray, windows: np.ndarray, lengths: np.ndarray, m
 class Matcher:
     """One block of items, ready to search batches of texts."""
 
-    def __init__(self, texts: list, rate: float, min_words: int, walks: int, tables: int, width: int):
+    def __init__(self, texts: list, rate: float, min_words: int):
         words, counts = word_hashes(texts)
         starts = np.cumsum(counts) - counts
-        self.rate, self.width, self.by_size = rate, width, {}
+        self.rate, self.by_size = rate, {}
         pairs, groups = [], []
         for q, n in enumerate(sorted({int(c) for c in counts if c >= min_words})):
             which = np.flatnonzero(counts == n)
             rows = np.stack([words[starts[i] : starts[i] + n] for i in which])
             pairs.append(mix(rows[:, :-1] * np.uint64(3) + rows[:, 1:]).ravel())
             groups.append(np.full(len(pairs[-1]), 1 << (q % 64), np.uint64))
-            rng = np.random.default_rng([n, 23])
-            samples = [(int(rng.integers(walks)), rng.choice(2 * n, width, replace=False)) for _ in range(tables)]
-            keys = self._keys(rows, np.full(len(rows), n), samples, n)
-            order = np.argsort(keys, axis=1, kind="stable")
             fresh = pairs[-1].reshape(len(rows), -1)
             fresh = 1 + (fresh[:, 1:] != fresh[:, :-1]).sum(axis=1).min()
-            self.by_size[n] = which, rows, samples, np.take_along_axis(keys, order, 1), order, int(fresh)
+            self.by_size[n] = which, rows, int(fresh)
         # All word pairs of items, the sizes (a bit each, mod 64) of the items that have
         # them, and a table that tells most other pairs apart by 18 bits.
         self.pairs, where = np.unique(np.concatenate(pairs), return_inverse=True) if pairs else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -97,18 +72,6 @@ class Matcher:
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[self.pairs >> np.uint64(46)] = True
 
-    @staticmethod
-    def _keys(rows, lengths, samples, n) -> np.ndarray:
-        """Keys (tables, rows)."""
-        out = np.empty((len(samples), len(rows)), np.uint64)
-        embedded = cgk(rows, lengths, 2 * n, 1 + max(w for w, _ in samples))
-        for t, (w, places) in enumerate(samples):
-            key = np.full(len(rows), t + 1, np.uint64)
-            for p in places:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + embedded[w, :, p])
-            out[t] = key
-        return out
-
     def find(self, texts: list) -> tuple[np.ndarray, ...]:
         """(text, item, first word, distance), the best place of each text and item."""
         parts = [(a, self._find(texts[a:b])) for a, b in slices(texts)] or [(0, self._find([]))]
@@ -126,10 +89,12 @@ class Matcher:
         at = np.minimum(np.searchsorted(self.pairs, pair[live]), len(self.pairs) - 1)
         good = (self.pairs[at] == pair[live]) & (doc[live] == doc[live + 1])
         live, groups = live[good], self.groups[at[good]]
+        place = np.full(len(words), len(self.pairs))  # of each word's pair in self.pairs
+        place[live] = at[good]
         fresh_here = np.ones(len(live), bool)
         fresh_here[live > 0] = (pair[live[live > 0]] != pair[live[live > 0] - 1]) | (doc[live[live > 0]] != doc[live[live > 0] - 1])
         found = []
-        for q, (n, (which, rows, samples, keys, order, fresh)) in enumerate(self.by_size.items()):
+        for q, (n, (which, rows, fresh)) in enumerate(self.by_size.items()):
             k = int(self.rate * n)
             need = n - 1 - 2 * k
             if need > 0:
@@ -146,7 +111,7 @@ class Matcher:
                 starts = np.arange(len(words))
             starts = starts[end[starts] - starts >= n - k]
             for a in range(0, len(starts), 2_000):
-                found += self._verify(words, end, starts[a : a + 2_000], n, k, which, rows, samples, keys, order)
+                found += self._verify(words, place, end, starts[a : a + 2_000], n, k, which, rows)
         if not found:
             return none
         start, item, dist = (np.concatenate(x) for x in zip(*found))
@@ -157,26 +122,25 @@ class Matcher:
         start, item, dist = start[first], item[first], dist[first]
         return doc[start], item, start - (end - np.repeat(counts, counts))[start], dist
 
-    def _verify(self, words, end, starts, n, k, which, rows, samples, keys, order) -> list:
+    def _verify(self, words, place, end, starts, n, k, which, rows) -> list:
         if not len(starts):
             return []
-        at = starts[:, None] + np.arange(n + k)
-        windows = words[np.minimum(at, len(words) - 1)]
+        at = np.minimum(starts[:, None] + np.arange(n + k), len(words) - 1)
+        windows, pairs = words[at], place[at]
         lengths = np.minimum(end[starts] - starts, n + k)
         windows[np.arange(n + k) >= lengths[:, None]] = _PAD
-        mine = self._keys(windows[:, :n], np.minimum(lengths, n), samples, n)
-        met = []
-        for t in range(len(samples)):
-            a, b = np.searchsorted(keys[t], mine[t], side="left"), np.searchsorted(keys[t], mine[t], side="right")
-            c = b - a
-            if c.any():
-                place = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a, c)
-                met.append(np.repeat(np.arange(len(starts)), c) * len(rows) + order[t][place])
-        if not met:
+        pairs[np.arange(n + k) >= lengths[:, None] - 1] = len(self.pairs)
+        w, i = [], []
+        for q, row in enumerate(rows):
+            own = np.zeros(len(self.pairs) + 1, bool)
+            own[np.searchsorted(self.pairs, mix(row[:-1] * np.uint64(3) + row[1:]))] = True
+            enough = np.flatnonzero(own[pairs].sum(axis=1) >= n - 1 - 2 * k)
+            w.append(enough)
+            i.append(np.full(len(enough), q))
+        w, i = np.concatenate(w), np.concatenate(i)
+        if not len(w):
             return []
-        met = np.unique(np.concatenate(met))
-        w, i = met // len(rows), met % len(rows)
-        dist = np.concatenate([edit_distance(rows[i[a : a + 20_000]], windows[w[a : a + 20_000]], lengths[w[a : a + 20_000]], k) for a in range(0, len(met), 20_000)])
+        dist = np.concatenate([edit_distance(rows[i[a : a + 20_000]], windows[w[a : a + 20_000]], lengths[w[a : a + 20_000]], k) for a in range(0, len(w), 20_000)])
         good = dist <= k
         return [(starts[w[good]], which[i[good]], dist[good])]
 
@@ -190,7 +154,7 @@ def _matchers(items: DataFrame, id_col: str, text_col: str, block: int, **how):
         yield [r.id for r in got], Matcher([r.text for r in got], **how)
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, walks: int = 16, tables: int = 128, width: int = 2, block: int = 5_000) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, block: int = 5_000) -> DataFrame:
     """One row for each document and item of which the document holds a window within
     ``rate`` times the item's words, rounded down, in edits of words (case of A-Z
     aside): the id, the item's id, ``distance``, ``item_words`` and ``first_word``
@@ -200,7 +164,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     empty texts give no row, nor do items of fewer than ``min_words`` words; repeated
     rows and repeated items each give theirs."""
     out = None
-    for ids, matcher in _matchers(items, item_col, item_text_col, block, rate=rate, min_words=min_words, walks=walks, tables=tables, width=width):
+    for ids, matcher in _matchers(items, item_col, item_text_col, block, rate=rate, min_words=min_words):
         part = _find_block(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids, matcher, items.schema[item_col].dataType)
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
@@ -220,10 +184,10 @@ def _find_block(source: DataFrame, ids: list, matcher: Matcher, item_type: T.Dat
     return source.mapInArrow(run, T.StructType(fields))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, walks: int = 16, tables: int = 128, width: int = 2, block: int = 5_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, block: int = 5_000) -> DataFrame:
     """``docs``, with all their columns, without the rows in which an item is found."""
     at = docs.columns.index(text_col)
-    for _, matcher in _matchers(items, item_col, item_text_col, block, rate=rate, min_words=min_words, walks=walks, tables=tables, width=width):
+    for _, matcher in _matchers(items, item_col, item_text_col, block, rate=rate, min_words=min_words):
 
         def run(batches, matcher=matcher):
             for batch in batches:

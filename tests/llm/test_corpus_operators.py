@@ -181,6 +181,22 @@ def test_decontamination_finds_edited_items(spark):
     assert decontaminate.find_items(docs_of(spark, rows), bench.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 100, 200])
+def test_long_items_with_edits_of_one_kind_are_found(n):
+    rng = np.random.default_rng(n)
+    items = [[f"w{x}" for x in rng.integers(0, 5000, n)] for _ in range(12)]
+    matcher = decontaminate.Matcher([" ".join(q) for q in items], rate=0.25, min_words=5)
+    texts = []
+    for q in items:
+        places = rng.choice(n, n // 4, replace=False)
+        at = int(rng.integers(n - n // 4))
+        added = [x for k, w in enumerate(q) for x in ([f"x{k}", w] if k in places else [w])]
+        for edited in ([w for k, w in enumerate(q) if k not in places], added, q[:at] + q[at + n // 4 :]):
+            texts.append(" ".join(["before", *edited, "behind"]))
+    text, item, _, dist = matcher.find(texts)
+    assert sorted(zip(text.tolist(), item.tolist())) == [(t, t // 3) for t in range(len(texts))] and (dist <= n // 4).all()
+
+
 def test_neighbours_recall_and_order(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = neighbours.nearest(table, F.col("vec_id") % 20 == 0).toPandas()
