@@ -1,23 +1,27 @@
 """Equivalence classes: union-find as connected components of an edge table.
 
-The representative of a class is its smallest id. Small edge tables (by their
-counted rows) are joined up by one task, in arrays. Larger ones are rewired by
-alternating large and small stars until nothing changes: few rounds (about log of
-the class size), each a grouped minimum with map-side combination and one join, so
-a class that holds a third of all ids is no single task's work.
+The representative of a class is its smallest id. Each task first contracts its own
+edges to a star forest, in arrays. Forests are merged by eights, as a tree, while
+what a task gets is bounded (by counted rows). Where ids are too many for that, the
+rest is rewired by alternating large and small stars until nothing changes: few
+rounds (about log of the class size), each a grouped minimum with map-side
+combination and one join, so a class that holds a third of all ids is no single
+task's work.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesseral.plans.storage import drop_written, written
 
-SMALL_EDGES = 500_000
+SMALL_EDGES = 4_000_000
+FOLD = 4_000_000
 
 
 def singletons(spark: SparkSession, n: int) -> DataFrame:
@@ -44,41 +48,142 @@ def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = jumped
 
 
-def _small(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def star_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, reps): every id of the edges, ascending, with its class's smallest id.
+    Ids that fill their range are places of an array; others are numbered first."""
+    if not len(u):
+        return u, v
+    low, high = int(min(u.min(), v.min())), int(max(u.max(), v.max()))
+    if high - low < 8 * len(u):
+        a, b = u - low, v - low
+        seen = np.zeros(high - low + 1, bool)
+        seen[a] = seen[b] = True
+        ids = np.flatnonzero(seen)
+        return ids + low, least_labels(a, b, len(seen))[ids] + low
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    return ids, ids[least_labels(place[: len(u)], place[len(u) :], len(ids))]
+
+
+def _folded(parts, most: int = FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The star forest of edges that come in arrays (u, v), ``most`` edges at a time."""
+    held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for u, v in parts:
+        held.append((u, v))
+        n += len(u)
+        if n >= most:
+            held, n = [star_forest(*map(np.concatenate, zip(*held)))], 0
+    return star_forest(*map(np.concatenate, zip(*held)))
+
+
+_PACKED = "part int, n bigint, ids binary, reps binary"
+
+
+def _packed(ids: np.ndarray, reps: np.ndarray, part: int, rows: int = 1 << 18):
+    for at in range(0, len(ids), rows):
+        x, y = ids[at : at + rows], reps[at : at + rows]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["part", "n", "ids", "reps"])
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for x, y in zip(batch.column(2), batch.column(3)):
+            yield np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+
+
+def _forests(pairs: DataFrame) -> DataFrame:
+    """Each task's edges as a star forest, packed: a row holds up to 2**18 ids."""
+
+    def run(batches):
+        edges = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches)
+        yield from _packed(*_folded(edges), TaskContext.get().partitionId())
+
+    return pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).mapInArrow(run, _PACKED)
+
+
+def _merged(forests: DataFrame, groups: int) -> DataFrame:
+    """Forests joined up in ``groups`` tasks."""
+
+    def run(batches):
+        yield from _packed(*_folded(_unpacked(batches)), TaskContext.get().partitionId())
+
+    return forests.repartition(groups, F.col("part") % groups).mapInArrow(run, _PACKED)
+
+
+def _edges_of(forests: DataFrame, names: tuple[str, str]) -> DataFrame:
+    def run(batches):
+        for x, y in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=list(names))
+
+    return forests.mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint")
+
+
+def _one_task(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Classes of keyed edges, or of ids of other types, in one task's arrays."""
     kind = pairs.schema["u"].dataType
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        table = pa.Table.from_batches(parts)
-        frame = table.to_pandas()
-        group = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(frame), np.int64)
-        u, v = frame["u"].to_numpy(), frame["v"].to_numpy()
-        values, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        table = pa.Table.from_batches(parts).combine_chunks()
+        group = np.zeros(table.num_rows, np.int64)
+        for k in keys:
+            code = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            group = np.unique(group * len(code.dictionary) + code.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        both = pa.concat_arrays([table.column(c).combine_chunks() for c in ("u", "v")])
+        if pa.types.is_integer(both.type):
+            values, place = np.unique(both.to_numpy(), return_inverse=True)
+            back = lambda i: pa.array(values[i], both.type)
+        else:
+            code = both.dictionary_encode()
+            known = code.dictionary.to_pylist()
+            order = sorted(range(len(known)), key=lambda i: tuple(known[i].values()) if isinstance(known[i], dict) else known[i])
+            rank = np.empty(len(known), np.int64)
+            rank[order] = np.arange(len(known))
+            values, place = code.dictionary.take(pa.array(order)), rank[code.indices.to_numpy()]
+            back = lambda i: values.take(pa.array(i))
         code = np.concatenate([group, group]) * len(values) + place
         known, first, index = np.unique(code, return_index=True, return_inverse=True)
-        label = least_labels(index[: len(u)], index[len(u) :], len(known))
-        of = pa.array(first % len(u))
-        ids = values[known % len(values)]
-        reps = values[known[label] % len(values)]
-        arrow = table.schema.field("u").type
-        yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(of) for k in keys), pa.array(ids, arrow), pa.array(reps, arrow)], names=[*keys, "id", "rep"])
+        label = least_labels(index[: len(group)], index[len(group) :], len(known))
+        of = pa.array(first % len(group))
+        yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(of) for k in keys), back(known % len(values)), back(known[label] % len(values))], names=[*keys, "id", "rep"])
 
     fields = [*(pairs.schema[k] for k in keys), T.StructField("id", kind), T.StructField("rep", kind)]
-    return pairs.coalesce(1).mapInArrow(run, T.StructType(fields))
+    return pairs.repartition(1).mapInArrow(run, T.StructType(fields))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), small: int = SMALL_EDGES, max_rounds: int = 60) -> DataFrame:
     """(keys..., id, rep) for every id in an edge, self edges included. ``keys``
     separate instances: edges link ids of one instance only, and null keys don't
-    occur. Rows with a null end are left out. One task does up to ``small`` edges.
-    Raises RuntimeError if ``max_rounds`` don't suffice."""
+    occur. Rows with a null end are left out. No task joins up more than about
+    ``small`` edges. Raises RuntimeError if ``max_rounds`` don't suffice."""
     spark, keys = edges.sparkSession, list(keys)
     pairs = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    pairs = written(pairs, "edges")
-    if pairs.count() <= small:
-        return _small(pairs, keys)
+    kind = pairs.schema["u"].dataType
+    if keys or not isinstance(kind, T.IntegralType) or pairs.schema["v"].dataType != kind:
+        pairs = written(pairs, "edges")
+        return _one_task(pairs, keys) if pairs.count() <= small else _stars(pairs, keys, max_rounds)
+    own = forests = written(_forests(pairs), "forests")
+    while True:
+        total, rows, parts = forests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.countDistinct("part")).first()
+        if parts <= 1 or total <= small:
+            found = _edges_of(forests if parts <= 1 else _merged(forests, 1), ("id", "rep"))
+            break
+        # forests are merged by eights, as long as a task's share stays small and they shrink
+        groups = max(-(-parts // 8), -(-total // max(small, 1)))
+        merged = written(_merged(forests, groups), "forests") if groups < parts else None
+        if merged is not None and 4 * merged.agg(F.sum("n")).first()[0] <= 3 * total:
+            drop_written(spark, own)
+            own = forests = merged
+            continue
+        found = _stars(written(_edges_of(forests if merged is None else merged, ("u", "v")), "edges"), [], max_rounds)
+        break
+    return found.select(F.col("id").cast(kind).alias("id"), F.col("rep").cast(kind).alias("rep"))
+
+
+def _stars(pairs: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
+    """The same for the written edges ``pairs`` (keys, u, v) of any size."""
+    spark = pairs.sparkSession
     state, marks, own = pairs.filter("u <> v").distinct().select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
     for _ in range(max_rounds):
         both = state.union(state.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
