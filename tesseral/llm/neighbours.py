@@ -2,16 +2,23 @@
 
 Unit vectors are turned by fast Hadamard pseudo-rotations (three rounds of random
 signs and a Hadamard transform); a hash is the nearest signed axis, and a table
-keys on a few such hashes. Queries probe, in each table, the buckets that lose least
-of the projected length. Everything that shares a probed bucket is a candidate and
-is ranked by its exact distance.
+keys on a few such hashes, as many as give about as many buckets as vectors. The index
+is one row for each table and vector, made once. Queries probe, in each table, the
+buckets that lose least of the projected length; an equi-join of probes with the index
+gives the candidates, which are ranked by their exact distance.
 
-Queries go in blocks of bounded size to all vectors, so vectors are never shuffled,
-no bucket is gathered anywhere, and each task returns no more than k rows a query.
+Equal vectors have equal codes, and a group of copies would meet in one bucket of
+every table: one vector stands for its copies, of which the k + 1 smallest ids
+can be in a result. Buckets of near copies stay large; they are joined as any
+skewed key, in parts. How many buckets to probe is fitted: for a bounded sample of
+queries the exact neighbours are found by a scan, and the number of probes is the least
+that finds ``recall`` of them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,8 +45,20 @@ class CrossPolytope:
         self.dim, self.tables, self.width = dim, tables, width
         self.size = 1 << max(1, (dim - 1).bit_length())
         self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (tables, width, 3, self.size))
+        self._dense: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": {}}
 
     def turned(self, x: np.ndarray, table: int, part: int) -> np.ndarray:
+        """Short vectors by the rotation's matrix, which the transform makes of the axes."""
+        if self.size <= 256:
+            if (table, part) not in self._dense:
+                self._dense[table, part] = self._transformed(np.eye(self.dim, dtype=np.float32), table, part)
+            return x.astype(np.float32, copy=False) @ self._dense[table, part]
+        return self._transformed(x, table, part)
+
+    def _transformed(self, x: np.ndarray, table: int, part: int) -> np.ndarray:
         y = np.zeros((len(x), self.size), np.float32)
         y[:, : self.dim] = x
         for s in self.signs[table, part]:
@@ -58,20 +77,24 @@ class CrossPolytope:
         """The ``n`` best buckets of each row: those of the largest sums of the
         squared projections on the axes chosen (unique keys)."""
         keys, gains = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
-        rows = np.arange(len(x))[:, None]
         for part in range(self.width):
             y = self.turned(x, table, part)
-            m = min(n, self.size)
-            at = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :m]
-            signed = y[rows, at]
+            at = np.argsort(-np.abs(y), axis=1, kind="stable")[:, : min(n, self.size)]
+            signed = np.take_along_axis(y, at, 1)
             more = (at * 2 + (signed < 0)).astype(np.int64)
             both = (gains[:, :, None] + (signed**2)[:, None, :]).reshape(len(x), -1)
             key = (keys[:, :, None] * (2 * self.size) + more[:, None, :]).reshape(len(x), -1)
             best = np.argsort(-both, axis=1, kind="stable")[:, :n]
-            keys, gains = key[rows, best], both[rows, best]
+            keys, gains = np.take_along_axis(key, best, 1), np.take_along_axis(both, best, 1)
         return keys
 
 
+def width_for(n: int, dim: int, least: int = 3) -> int:
+    """Hashes a table so that a bucket of n vectors holds about ``least``."""
+    axes = 2 << max(1, (dim - 1).bit_length())
+    return max(1, round(math.log(max(n / least, 2)) / math.log(axes)))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(axis=1, keepdims=True)
     y = x / big
@@ -86,97 +109,164 @@ def _best(q: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarra
     return order[np.arange(len(sq)) - first < k]
 
 
-def _scan(vectors: DataFrame, dim: int, query_ids: np.ndarray, queries: np.ndarray, k: int, tables: int, width: int, probes: int, exact: bool) -> DataFrame:
-    """``vectors`` (id, v) against one block of queries: at most k rows a query and
-    task. With ``exact`` all vectors are candidates."""
-    lsh = CrossPolytope(dim, tables, width)
-    lists = []
-    if not exact:
-        unit = _unit(queries)
-        for t in range(tables):
-            keys = lsh.probes(unit, t, probes)
-            order = np.argsort(keys.ravel(), kind="stable")
-            lists.append((keys.ravel()[order], np.repeat(np.arange(len(queries)), keys.shape[1])[order]))
-
-    def candidates(x, unit):
-        marked = np.zeros((len(queries), len(x)), bool)
-        if exact:
-            marked[:] = True
-        for t, (keys, who) in enumerate(lists):
-            codes = lsh.codes(unit, t)
-            a, b = np.searchsorted(keys, codes, side="left"), np.searchsorted(keys, codes, side="right")
-            n = b - a
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            marked[who[at], np.repeat(np.arange(len(x)), n)] = True
-        return np.nonzero(marked)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    diff = x - y
+    return np.sqrt((diff * diff).sum(axis=1))
+
+
+def _exact(vectors: DataFrame, dim: int, queries: np.ndarray, k: int, block: int = 2048) -> DataFrame:
+    """(q, uid, score): of ``vectors`` (uid, v) the k nearest of each query of a bounded
+    block (q is its place), k rows a query and task."""
+    shipped = vectors.sparkSession.sparkContext.broadcast(queries)  # at most ``block`` vectors
 
     def run(batches):
+        asked = shipped.value
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
-                ids = piece.column(0).to_numpy(zero_copy_only=False)
-                x = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                q, v = candidates(x, _unit(x))
-                keep = query_ids[q] != ids[v]
-                q, v = q[keep], v[keep]
-                dist = np.empty(len(q))
-                for p in range(0, len(q), 65536):
-                    diff = x[v[p : p + 65536]] - queries[q[p : p + 65536]]
-                    dist[p : p + 65536] = np.sqrt((diff * diff).sum(axis=1))
-                both = [np.concatenate(pair) for pair in zip(held, (q, ids[v], dist))]
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                uid, x = piece.column(0).to_numpy(zero_copy_only=False), _matrix(piece.column(1), dim)
+                parts = [held]
+                for q in range(len(asked)):
+                    dist = _distances(x, asked[q])
+                    best = np.lexsort((uid, dist))[:k]
+                    parts.append((np.full(len(best), q), uid[best], dist[best]))
+                both = [np.concatenate(c) for c in zip(*parts)]
                 best = _best(*both, k)
                 held = tuple(c[best] for c in both)
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2])], names=["q", "uid", "score"])
+
+    return vectors.select("uid", "v").mapInArrow(run, "q bigint, uid bigint, score double")
+
+
+def fitted_probes(lsh: CrossPolytope, queries: np.ndarray, found: list[np.ndarray], recall: float, most: int = 4096) -> int:
+    """The least number of probes a table with which ``recall`` of all true neighbours
+    (``found``, vectors of each query) share a probed bucket."""
+    n = 4
+    pairs = sum(map(len, found))
+    if not pairs:
+        return n
+    near, of = np.concatenate(found), np.repeat(np.arange(len(queries)), [len(f) for f in found])
+    while True:
+        first = np.full(pairs, n + 1)
+        for t in range(lsh.tables):
+            probed, codes = lsh.probes(_unit(queries), t, n), lsh.codes(_unit(near), t)
+            same = probed[of] == codes[:, None]
+            first = np.minimum(first, np.where(same.any(axis=1), same.argmax(axis=1) + 1, n + 1))
+        need = int(np.sort(first)[max(0, math.ceil(recall * pairs) - 1)])
+        if need <= n or n >= most:
+            return min(need, n)
+        n *= 4
+
+
+def _coded(vectors: DataFrame, dim: int, lsh: CrossPolytope, name: str, probes: int | None = None) -> DataFrame:
+    """(t, bucket, ``name``): the code of each vector in each table, or its probes."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                uid, x = piece.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(piece.column(1), dim))
+                for t in range(lsh.tables):
+                    keys = lsh.codes(x, t)[:, None] if probes is None else lsh.probes(x, t, probes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int16)), pa.array(keys.ravel()), pa.array(np.repeat(uid, keys.shape[1]))], names=["t", "bucket", name])
+
+    return vectors.mapInArrow(run, f"t smallint, bucket bigint, {name} bigint")
 
-    return vectors.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
+def _scored(pairs: DataFrame, dim: int) -> DataFrame:
+    """(q, uid, first_id, score) of pairs with both vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                dist = _distances(_matrix(batch.column(3), dim), _matrix(batch.column(4), dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dist)], names=["q", "uid", "first_id", "score"])
+
+    return pairs.select("q", "uid", "first_id", "v", "qv").mapInArrow(run, "q bigint, uid bigint, first_id bigint, score double")
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 32, width: int = 2, probes: int = 256, block: int = 2048) -> DataFrame:
+
+def _top(rows: DataFrame, key: str, k: int, *order) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 64, recall: float = 0.94, sample: int = 64, block: int = 2048) -> DataFrame:
     """The k nearest found (Euclidean) of each query: ``query_id``, ``rank`` from 1,
     ``vec_id``, ``score``; nearest first, ties to the smaller id.
 
-    ``is_query`` is a condition on the id column. Vectors that are null, zero, hold
-    null or non-finite numbers or haven't the usual length, and null ids, take no
-    part. Candidates are all rows with another id than the query; of repeated query
-    ids the smallest vector asks. A query for which the tables give fewer than k is
-    searched again among all vectors, so it gets k rows if there are as many."""
-    spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    ``is_query`` is a condition on the id column. Vectors that are null, zero or hold
+    null or non-finite numbers, and null ids, take no part. Vectors of different
+    lengths have no distance: each length is a search of its own. Candidates are all
+    rows with another id than the query; of repeated query ids the smallest vector
+    asks. An empty table gives no row.
+
+    Probes are fitted on at most ``sample`` queries (by a hash of the id) to find
+    ``recall`` of their neighbours. A query for which the tables give fewer than k is
+    searched again among all vectors, in blocks of ``block`` queries, so it gets k rows
+    if there are as many."""
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col).cast(f"array<{kind if kind in ('float', 'double') else 'double'}>")
     good = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), is_query.alias("asks")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     good = good.filter(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0))
-    usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).limit(1).collect()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not usual:
-        return spark.createDataFrame([], schema)
-    dim = usual[0].d
-    good = good.filter(F.size("v") == dim)
-    asking = good.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
-    asking = written(asking, "queries")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    base = good.select("id", "v")
-
-    def search(queries: DataFrame, exact: bool) -> DataFrame | None:
-        """Block after block, each appended to a table."""
-        n = queries.count()
-        blocks, path = -(-n // block), new_path(spark, "neighbours")
-        for b in range(blocks):
-            got = queries.filter(block_number(blocks, F.col("id"), F.lit(5)) == b).orderBy("id").toPandas()  # about ``block`` rows
-            for a in range(0, len(got), block):
-                ids = got["id"].to_numpy(np.int64)[a : a + block]
-                q = np.array(got["v"].tolist()[a : a + block], np.float64).reshape(-1, dim)
-                found = _scan(base, dim, ids, q, k, tables, width, probes, exact)
-                found.withColumn("rank", rank).filter(F.col("rank") <= k).write.mode("append").parquet(path)
-        return spark.read.schema("query_id bigint, vec_id bigint, score double, rank int").parquet(path) if n else None
-
-    found = search(asking, False)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    lengths = sorted(r.d for r in good.select(F.size("v").alias("d")).distinct().collect())  # one, as a rule
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim in lengths:
+        out = out.unionByName(_nearest(good.filter(F.size("v") == dim), dim, k, tables, recall, sample, block))
+    return out
+
+
+def _nearest(good: DataFrame, dim: int, k: int, tables: int, recall: float, sample: int, block: int) -> DataFrame:
+    spark = good.sparkSession
+    # Rows get a number that is theirs; hashes of 128 bits tell equal vectors.
+    base = written(good.select(F.monotonically_increasing_id().alias("uid"), "id", "v", "asks", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")), "vectors")
+    twins = written(base.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.min("id").alias("first_id"), F.count("*").alias("c")).filter("c > 1").drop("c"), "twins")
+    joined = base.join(twins, ["h1", "h2"], "left")
+    index = joined.filter("rep IS NULL OR rep = uid").select("uid", F.coalesce("first_id", "id").alias("first_id"), "v")
+    members = _top(base.select("h1", "h2", "id").join(twins, ["h1", "h2"]).select("rep", "id").distinct(), "rep", k + 1, "id").select(F.col("rep").alias("uid"), "id")
+    asking = base.filter("asks").groupBy("id").agg(F.min(F.struct("v", "uid", "h1", "h2")).alias("a")).select("id", "a.*")
+    asking = asking.join(twins.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("id", F.coalesce("rep", "uid").alias("q"), "v")
+    asking = written(asking, "asking")
+    total = base.count()
+    queries = asking.groupBy("q").agg(F.first("v").alias("qv"))  # copies have one vector
+    lsh = CrossPolytope(dim, tables, width_for(total, dim))
+    some = queries.orderBy(F.xxhash64("q", F.lit(7)), "q").limit(sample).collect()  # bounded
+    probes = 4
+    if some:
+        x = np.array([r.qv for r in some], np.float64)
+        near = _top(_exact(index, dim, x, k + 1), "q", k + 1, "score", "uid").join(index.select("uid", "v"), "uid").select("q", "v").collect()  # sample * (k + 1) rows
+        found = [np.array([r.v for r in near if r.q == i], np.float64).reshape(-1, dim) for i in range(len(some))]
+        probes = fitted_probes(lsh, x, found, recall)
+    pairs = _coded(queries.select("q", "qv"), dim, lsh, "q", probes).join(_coded(index.select("uid", "v"), dim, lsh, "uid"), ["t", "bucket"]).select("q", "uid").distinct()
+    scored = _scored(pairs.join(index, "uid").join(queries, "q"), dim)
+
+    def ranked(best: DataFrame) -> DataFrame:
+        """Copies join their vector's place; a query's own row goes."""
+        every = best.join(members, "uid", "left").select("q", "score", F.coalesce("id", "first_id").alias("vec_id"))
+        own = asking.select(F.col("id").alias("query_id"), "q")
+        return _top(own.join(every, "q").filter("vec_id <> query_id"), "query_id", k, "score", "vec_id").select("query_id", "rank", "vec_id", "score")
+
+    found = written(ranked(_top(scored, "q", k + 1, "score", "first_id").drop("rank")), "neighbours")
     full = found.groupBy("query_id").count().filter(F.col("count") >= k)
     short = written(asking.join(full, F.col("id") == F.col("query_id"), "left_anti"), "short")
-    more = search(short, True)
-    if more is not None:
-        found = found.join(short.select("id"), F.col("query_id") == F.col("id"), "left_anti").unionByName(more)
-    else:
+    n = short.count()
+    if not n:
         drop_written(spark, short)
-    return found.select("query_id", "rank", "vec_id", "score")
+        return found
+    path, blocks = new_path(spark, "exact"), -(-n // block)
+    for b in range(blocks):
+        got = short.filter(block_number(blocks, F.col("id"), F.lit(5)) == b).select("q", "v").distinct().toPandas()  # about ``block`` rows
+        for a in range(0, len(got), block):
+            part = got.iloc[a : a + block]
+            names = spark.createDataFrame([(i, int(q)) for i, q in enumerate(part["q"])], "place bigint, name bigint")
+            best = _exact(index, dim, np.array(part["v"].tolist(), np.float64).reshape(-1, dim), k + 1)
+            best = _top(best.join(index.select("uid", "first_id"), "uid"), "q", k + 1, "score", "first_id").drop("rank")
+            best = best.join(F.broadcast(names), F.col("q") == F.col("place")).select(F.col("name").alias("q"), "uid", "first_id", "score")
+            best.write.mode("append").parquet(path)
+    more = ranked(spark.read.schema("q bigint, uid bigint, first_id bigint, score double").parquet(path))
+    more = more.join(short.select(F.col("id").alias("query_id")), "query_id", "left_semi")
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more.select(*found.columns))
