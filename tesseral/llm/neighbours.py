@@ -3,16 +3,21 @@
 Unit vectors are turned by fast Hadamard pseudo-rotations (three rounds of random
 signs and a Hadamard transform); a hash is the nearest signed axis, and a table
 keys on a few such hashes, as many as give about as many buckets as vectors. The index
-is one row for each table and vector, made once. Queries probe, in each table, the
-buckets that lose least of the projected length; an equi-join of probes with the index
-gives the candidates, which are ranked by their exact distance.
-
-Equal vectors have equal codes, and a group of copies would meet in one bucket of
-every table: one vector stands for its copies, of which the k + 1 smallest ids
-can be in a result. Buckets of near copies stay large; they are joined as any
-skewed key, in parts. How many buckets to probe is fitted: for a bounded sample of
-queries the exact neighbours are found by a scan, and the number of probes is the least
-that finds ``recall`` of them.
+is made once and written: each vector with its codes in all tables. Of all tables'
+buckets a query probes those with the largest sums of projections; vectors with a code
+that is probed are candidates and ranked by their exact distance.
+
+The probes of a block of queries, of bounded size, go to all tasks, which look up
+the codes of their vectors; so no bucket is gathered anywhere, however many vectors
+it holds, and each task returns no more than k rows a query. A join of probes with
+codes by bucket was measured, too: as fast, but its rows are the candidate pairs, and
+these were 16 times as many for 5 times the vectors, whose neighbours are hardly nearer
+than the rest.
+
+Equal vectors have equal codes: one vector stands for its copies, of which the k + 1
+smallest ids can be in a result. How many buckets to probe is fitted: for a bounded
+sample of queries the exact neighbours are found by a scan, and the number of probes is
+the least that finds ``recall`` of them.
 """
 
 from __future__ import annotations
@@ -45,6 +50,7 @@ class CrossPolytope:
         self.dim, self.tables, self.width = dim, tables, width
         self.size = 1 << max(1, (dim - 1).bit_length())
         self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (tables, width, 3, self.size))
+        self.packed = np.uint16 if self.buckets <= 1 << 16 else np.uint32 if self.buckets <= 1 << 32 else np.int64
         self._dense: dict = {}
 
     def __getstate__(self):
@@ -73,20 +79,32 @@ class CrossPolytope:
             out = out * (2 * self.size) + at * 2 + (y[np.arange(len(x)), at] < 0)
         return out
 
-    def probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
-        """The ``n`` best buckets of each row: those of the largest sums of the
-        squared projections on the axes chosen (unique keys)."""
-        keys, gains = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
-        for part in range(self.width):
-            y = self.turned(x, table, part)
-            at = np.argsort(-np.abs(y), axis=1, kind="stable")[:, : min(n, self.size)]
-            signed = np.take_along_axis(y, at, 1)
-            more = (at * 2 + (signed < 0)).astype(np.int64)
-            both = (gains[:, :, None] + (signed**2)[:, None, :]).reshape(len(x), -1)
-            key = (keys[:, :, None] * (2 * self.size) + more[:, None, :]).reshape(len(x), -1)
-            best = np.argsort(-both, axis=1, kind="stable")[:, :n]
-            keys, gains = np.take_along_axis(key, best, 1), np.take_along_axis(both, best, 1)
-        return keys
+    def probes(self, x: np.ndarray, n: int, a_table: int = 64) -> np.ndarray:
+        """The ``n`` best (table, bucket) of each row as places table * buckets + bucket,
+        best first: those of the largest sums of the absolute projections on the axes
+        chosen. Of one table at most ``a_table`` are looked at."""
+        found, gained = [], []
+        for table in range(self.tables):
+            keys, gains = np.full((len(x), 1), 0, np.int64), np.zeros((len(x), 1), np.float32)
+            for part in range(self.width):
+                y = self.turned(x, table, part)
+                m = min(a_table, self.size)
+                at = np.argpartition(-np.abs(y), m - 1, axis=1)[:, :m] if m < self.size else np.argsort(-np.abs(y), axis=1)
+                signed = np.take_along_axis(y, at, 1)
+                more = (at * 2 + (signed < 0)).astype(np.int64)
+                both = (gains[:, :, None] + np.abs(signed)[:, None, :]).reshape(len(x), -1)
+                key = (keys[:, :, None] * (2 * self.size) + more[:, None, :]).reshape(len(x), -1)
+                best = np.argsort(-both, axis=1, kind="stable")[:, :a_table]
+                keys, gains = np.take_along_axis(key, best, 1), np.take_along_axis(both, best, 1)
+            found.append(keys + table * self.buckets)
+            gained.append(gains)
+        keys, gains = np.concatenate(found, axis=1), np.concatenate(gained, axis=1)
+        best = np.argsort(-gains, axis=1, kind="stable")[:, :n]
+        return np.take_along_axis(keys, best, 1)
+
+    @property
+    def buckets(self) -> int:
+        return (2 * self.size) ** self.width
 
 
 def width_for(n: int, dim: int, least: int = 3) -> int:
@@ -118,10 +136,10 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt((diff * diff).sum(axis=1))
 
 
-def _exact(vectors: DataFrame, dim: int, queries: np.ndarray, k: int, block: int = 2048) -> DataFrame:
+def _exact(vectors: DataFrame, dim: int, queries: np.ndarray, k: int) -> DataFrame:
     """(q, uid, score): of ``vectors`` (uid, v) the k nearest of each query of a bounded
     block (q is its place), k rows a query and task."""
-    shipped = vectors.sparkSession.sparkContext.broadcast(queries)  # at most ``block`` vectors
+    shipped = vectors.sparkSession.sparkContext.broadcast(queries)  # bounded by the block
 
     def run(batches):
         asked = shipped.value
@@ -143,51 +161,77 @@ def _exact(vectors: DataFrame, dim: int, queries: np.ndarray, k: int, block: int
     return vectors.select("uid", "v").mapInArrow(run, "q bigint, uid bigint, score double")
 
 
-def fitted_probes(lsh: CrossPolytope, queries: np.ndarray, found: list[np.ndarray], recall: float, most: int = 4096) -> int:
-    """The least number of probes a table with which ``recall`` of all true neighbours
-    (``found``, vectors of each query) share a probed bucket."""
-    n = 4
-    pairs = sum(map(len, found))
-    if not pairs:
-        return n
-    near, of = np.concatenate(found), np.repeat(np.arange(len(queries)), [len(f) for f in found])
-    while True:
-        first = np.full(pairs, n + 1)
+def fitted_probes(lsh: CrossPolytope, queries: np.ndarray, found: list[np.ndarray], recall: float) -> int:
+    """The least number of probes (of all tables) with which ``recall`` of all true
+    neighbours (``found``, vectors of each query) share a probed bucket."""
+    if not sum(map(len, found)):
+        return lsh.tables
+    first = []
+    for x, near in zip(queries, found):
+        if not len(near):
+            continue
+        probed = lsh.probes(_unit(x[None]), lsh.tables * 64)[0]
+        order = np.argsort(probed)
+        place = np.full(len(near), len(probed) + 1)
+        unit = _unit(near)
         for t in range(lsh.tables):
-            probed, codes = lsh.probes(_unit(queries), t, n), lsh.codes(_unit(near), t)
-            same = probed[of] == codes[:, None]
-            first = np.minimum(first, np.where(same.any(axis=1), same.argmax(axis=1) + 1, n + 1))
-        need = int(np.sort(first)[max(0, math.ceil(recall * pairs) - 1)])
-        if need <= n or n >= most:
-            return min(need, n)
-        n *= 4
+            codes = lsh.codes(unit, t) + t * lsh.buckets
+            at = np.minimum(np.searchsorted(probed, codes, sorter=order), len(probed) - 1)
+            hit = probed[order[at]] == codes
+            place[hit] = np.minimum(place[hit], order[at][hit] + 1)
+        first.append(place)
+    first = np.sort(np.concatenate(first))
+    return int(min(first[max(0, math.ceil(recall * len(first)) - 1)], lsh.tables * 64))
 
 
-def _coded(vectors: DataFrame, dim: int, lsh: CrossPolytope, name: str, probes: int | None = None) -> DataFrame:
-    """(t, bucket, ``name``): the code of each vector in each table, or its probes."""
+def _coded(vectors: DataFrame, dim: int, lsh: CrossPolytope) -> DataFrame:
+    """``vectors`` (uid, first_id, v) with ``codes``, packed: one for each table."""
+    kind = vectors.schema["v"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 piece = batch.slice(at, 2048)
-                uid, x = piece.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(piece.column(1), dim))
-                for t in range(lsh.tables):
-                    keys = lsh.codes(x, t)[:, None] if probes is None else lsh.probes(x, t, probes)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int16)), pa.array(keys.ravel()), pa.array(np.repeat(uid, keys.shape[1]))], names=["t", "bucket", name])
+                x = _unit(_matrix(piece.column(2), dim))
+                codes = np.stack([lsh.codes(x, t) for t in range(lsh.tables)], axis=1)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([c.tobytes() for c in codes.astype(lsh.packed)], pa.binary())], names=["uid", "first_id", "v", "codes"])
 
-    return vectors.mapInArrow(run, f"t smallint, bucket bigint, {name} bigint")
+    return vectors.select("uid", "first_id", "v").mapInArrow(run, f"uid bigint, first_id bigint, v {kind}, codes binary")
 
 
-def _scored(pairs: DataFrame, dim: int) -> DataFrame:
-    """(q, uid, first_id, score) of pairs with both vectors."""
+def _probed(coded: DataFrame, dim: int, lsh: CrossPolytope, names: np.ndarray, queries: np.ndarray, probes: int, k: int) -> DataFrame:
+    """(q, uid, first_id, score): of the candidates of a block of queries the k best
+    in each task."""
+    keys = lsh.probes(_unit(queries), probes).astype(np.int64)
+    who = np.repeat(np.arange(len(queries), dtype=np.int32), keys.shape[1])
+    order = np.argsort(keys, axis=None, kind="stable")
+    shipped = coded.sparkSession.sparkContext.broadcast((keys.ravel()[order], who[order], names, queries))  # bounded by the block
 
     def run(batches):
+        keys, who, names, queries = shipped.value
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         for batch in batches:
-            if batch.num_rows:
-                dist = _distances(_matrix(batch.column(3), dim), _matrix(batch.column(4), dim))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dist)], names=["q", "uid", "first_id", "score"])
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                uid, first_id = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                x = _matrix(piece.column(2), dim)
+                codes = np.frombuffer(b"".join(piece.column(3).to_pylist()), lsh.packed).reshape(len(x), -1).astype(np.int64) + np.arange(lsh.tables) * lsh.buckets
+                a, b = np.searchsorted(keys, codes.ravel(), side="left"), np.searchsorted(keys, codes.ravel(), side="right")
+                hit = np.flatnonzero(b > a)
+                n = (b - a)[hit]
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[hit], n)
+                marked = np.zeros((len(queries), len(x)), bool)
+                marked[who[place], np.repeat(hit // lsh.tables, n)] = True
+                q, v = np.nonzero(marked)
+                dist = np.empty(len(q))
+                for p in range(0, len(q), 65536):
+                    dist[p : p + 65536] = _distances(x[v[p : p + 65536]], queries[q[p : p + 65536]])
+                both = [np.concatenate(c) for c in zip(held, (q, first_id[v], dist, uid[v]))]
+                best = _best(*both[:3], k)
+                held = tuple(c[best] for c in both)
+        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[3]), pa.array(held[1]), pa.array(held[2])], names=["q", "uid", "first_id", "score"])
 
-    return pairs.select("q", "uid", "first_id", "v", "qv").mapInArrow(run, "q bigint, uid bigint, first_id bigint, score double")
+    return coded.select("uid", "first_id", "v", "codes").mapInArrow(run, "q bigint, uid bigint, first_id bigint, score double")
 
 
 def _top(rows: DataFrame, key: str, k: int, *order) -> DataFrame:
@@ -195,7 +239,7 @@ def _top(rows: DataFrame, key: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 64, recall: float = 0.94, sample: int = 64, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 64, recall: float = 0.94, sample: int = 64, block: int = 4096) -> DataFrame:
     """The k nearest found (Euclidean) of each query: ``query_id``, ``rank`` from 1,
     ``vec_id``, ``score``; nearest first, ties to the smaller id.
 
@@ -235,14 +279,30 @@ def _nearest(good: DataFrame, dim: int, k: int, tables: int, recall: float, samp
     queries = asking.groupBy("q").agg(F.first("v").alias("qv"))  # copies have one vector
     lsh = CrossPolytope(dim, tables, width_for(total, dim))
     some = queries.orderBy(F.xxhash64("q", F.lit(7)), "q").limit(sample).collect()  # bounded
-    probes = 4
-    if some:
-        x = np.array([r.qv for r in some], np.float64)
-        near = _top(_exact(index, dim, x, k + 1), "q", k + 1, "score", "uid").join(index.select("uid", "v"), "uid").select("q", "v").collect()  # sample * (k + 1) rows
-        found = [np.array([r.v for r in near if r.q == i], np.float64).reshape(-1, dim) for i in range(len(some))]
-        probes = fitted_probes(lsh, x, found, recall)
-    pairs = _coded(queries.select("q", "qv"), dim, lsh, "q", probes).join(_coded(index.select("uid", "v"), dim, lsh, "uid"), ["t", "bucket"]).select("q", "uid").distinct()
-    scored = _scored(pairs.join(index, "uid").join(queries, "q"), dim)
+    if not some:
+        drop_written(spark, base, twins, asking)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    x = np.array([r.qv for r in some], np.float64)
+    near = _top(_exact(index, dim, x, k + 1), "q", k + 1, "score", "uid").join(index.select("uid", "v"), "uid").select("q", "v").collect()  # sample * (k + 1) rows
+    probes = fitted_probes(lsh, x, [np.array([r.v for r in near if r.q == i], np.float64).reshape(-1, dim) for i in range(len(some))], recall)
+    coded = written(_coded(index, dim, lsh), "coded")
+
+    def in_blocks(rows: DataFrame, search) -> DataFrame:
+        """``search`` (names, vectors) block after block, each appended to a table."""
+        path, blocks = new_path(spark, "searched"), max(1, -(-rows.count() // block))
+        for b in range(blocks):
+            got = rows.filter(block_number(blocks, F.col("q"), F.lit(5)) == b).orderBy("q").toPandas()  # about ``block`` rows
+            for a in range(0, len(got), block):
+                part = got.iloc[a : a + block]
+                search(part["q"].to_numpy(np.int64), np.array(part["qv"].tolist(), np.float64).reshape(-1, dim)).write.mode("append").parquet(path)
+        return spark.read.schema("q bigint, uid bigint, first_id bigint, score double").parquet(path)
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        return _top(rows, "q", k + 1, "score", "first_id").select("q", "uid", "first_id", "score")
+
+    def exact(names: np.ndarray, vectors: np.ndarray) -> DataFrame:
+        named = F.element_at(F.lit(names.tolist()), (F.col("q") + 1).cast("int"))
+        return best_of(_exact(index, dim, vectors, k + 1).join(index.select("uid", "first_id"), "uid").withColumn("q", named))
 
     def ranked(best: DataFrame) -> DataFrame:
         """Copies join their vector's place; a query's own row goes."""
@@ -250,23 +310,13 @@ def _nearest(good: DataFrame, dim: int, k: int, tables: int, recall: float, samp
         own = asking.select(F.col("id").alias("query_id"), "q")
         return _top(own.join(every, "q").filter("vec_id <> query_id"), "query_id", k, "score", "vec_id").select("query_id", "rank", "vec_id", "score")
 
-    found = written(ranked(_top(scored, "q", k + 1, "score", "first_id").drop("rank")), "neighbours")
+    scored = in_blocks(queries, lambda names, vectors: best_of(_probed(coded, dim, lsh, names, vectors, probes, k + 1)))
+    found = written(ranked(scored), "neighbours")
+    drop_written(spark, coded)
     full = found.groupBy("query_id").count().filter(F.col("count") >= k)
-    short = written(asking.join(full, F.col("id") == F.col("query_id"), "left_anti"), "short")
-    n = short.count()
-    if not n:
+    short = written(asking.join(full, F.col("id") == F.col("query_id"), "left_anti").select(F.col("id").alias("query_id"), "q"), "short")
+    if short.isEmpty():
         drop_written(spark, short)
         return found
-    path, blocks = new_path(spark, "exact"), -(-n // block)
-    for b in range(blocks):
-        got = short.filter(block_number(blocks, F.col("id"), F.lit(5)) == b).select("q", "v").distinct().toPandas()  # about ``block`` rows
-        for a in range(0, len(got), block):
-            part = got.iloc[a : a + block]
-            names = spark.createDataFrame([(i, int(q)) for i, q in enumerate(part["q"])], "place bigint, name bigint")
-            best = _exact(index, dim, np.array(part["v"].tolist(), np.float64).reshape(-1, dim), k + 1)
-            best = _top(best.join(index.select("uid", "first_id"), "uid"), "q", k + 1, "score", "first_id").drop("rank")
-            best = best.join(F.broadcast(names), F.col("q") == F.col("place")).select(F.col("name").alias("q"), "uid", "first_id", "score")
-            best.write.mode("append").parquet(path)
-    more = ranked(spark.read.schema("q bigint, uid bigint, first_id bigint, score double").parquet(path))
-    more = more.join(short.select(F.col("id").alias("query_id")), "query_id", "left_semi")
-    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more.select(*found.columns))
+    more = ranked(in_blocks(queries.join(short, "q", "left_semi"), exact)).join(short, "query_id", "left_semi")
+    return found.join(short, "query_id", "left_anti").unionByName(more.select(*found.columns))

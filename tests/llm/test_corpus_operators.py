@@ -214,6 +214,20 @@ def test_neighbours_recall_and_order(spark):
     assert total == 10 * (ids % 20 == 0).sum() and hits >= 0.9 * total
 
 
+def test_fitted_probes_reach_their_recall_with_few_candidates():
+    rng = np.random.default_rng(16)
+    x = neighbours._unit(rng.normal(size=(20_000, 64)))  # no vector has a near neighbour
+    nearest = lambda q: np.argsort(-(x @ x[q]))[1:11]
+    lsh = neighbours.CrossPolytope(64, 64, neighbours.width_for(len(x), 64))
+    n = neighbours.fitted_probes(lsh, x[:60], [x[nearest(q)] for q in range(60)], 0.94)
+    codes = np.stack([lsh.codes(x, t) + t * lsh.buckets for t in range(64)], axis=1)
+    hits, share = 0, 0.0
+    for q in range(100, 140):  # queries that the fit hasn't seen
+        candidate = np.isin(codes, lsh.probes(x[q : q + 1], n)[0]).any(axis=1)
+        hits, share = hits + candidate[nearest(q)].sum(), share + candidate.mean() / 40
+    assert hits >= 0.9 * 400 and share < 0.12
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 2.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [1.0, None, 0.0]), (7, [inf, 1.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0, 1.0]), (9, [-1.0, 0.0, 0.0]), (100, [0.9, 0.1, 0.0]), (200, None), (300, [3.0]), (11, [4.0]), (12, [2.0])]
