@@ -295,6 +295,31 @@ def test_warc_round_trip(spark):
     assert warc.capture_facts(warc.captures(pages.filter("false"))).count() == 0
 
 
+def test_archives_of_many_files_and_long_pages(spark, tmp_path):
+    import gzip
+
+    rng = np.random.default_rng(17)
+    rows = [(i, f"http://p/{i}", rng.bytes(60).hex() * (1 + i % 7)) for i in range(60)] + [(100, "http://long", "é" * 3_000_000), (101, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    pages.write.parquet(f"{tmp_path}/pages")
+    folder = warc.write_archives(spark.read.parquet(f"{tmp_path}/pages"), f"file://{tmp_path}/warc", file_bytes=2_000)
+    files = sorted((tmp_path / "warc").glob("*.warc.gz"))
+    assert len(files) > 20 and not list((tmp_path / "warc").glob(".part-*"))
+    assert files[0].read_bytes().count(b"\x1f\x8b\x08") >= 3  # a member for each record
+    records = warc.read_archives(spark, folder)
+    assert records.count() == 3 * len(rows)
+    found = {r.page_id: r.payload_bytes for r in warc.capture_facts(warc.assemble(records)).collect()}
+    assert found == {i: len((h or "").encode()) for i, _, h in rows}
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    whole = [(h["warc-record-id"], b) for h, b in warc.parse_records(data)]
+    packed = gzip.compress(data)
+    for pieces in ([packed], [packed[i : i + 1000] for i in range(0, len(packed), 1000)], [data[i : i + 777] for i in range(0, len(data), 777)]):
+        assert [(h["warc-record-id"], b) for h, b in warc.stream_records(pieces)] == whole
+    more = records.filter("kind = 'metadata'").withColumn("record_id", F.concat("record_id", F.lit("-b")))
+    nested = warc.assemble(records.union(more).union(records)).collect()
+    assert len(nested) == len(rows) and all(len(r.metadata) == 2 and len(r.request) == 1 and r.response for r in nested)
+
+
 def test_parser_refuses_other_bytes():
     with pytest.raises(ValueError):
         list(warc.parse_records(b"HTTP/1.1 200 OK\r\n\r\n"))
