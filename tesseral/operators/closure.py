@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesseral.operators.components import connected_components, union_all
+from tesseral.operators.components import connected_components
 from tesseral.plans.storage import drop_written, written
 
 
@@ -92,11 +92,12 @@ def close_rounds(nodes: DataFrame, equalities: DataFrame, max_rounds: int = 200,
 
     Raises RuntimeError after ``max_rounds``: long cascades are for the kernel."""
     spark, marks = nodes.sparkSession, [time.perf_counter()]
-    own = nodes.select("inst", "id", F.col("id").alias("rep"))
-    rep = written(union_all(own, equalities, keys=("inst",)), "rep")
+    # ids that no equality names are their own class, so only the others need a row
+    classes = written(connected_components(equalities, keys=("inst",)), "classes")
+    of_class = lambda rows: rows.join(classes, ["inst", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
     marks.append(time.perf_counter())
     arity = nodes.agg(F.coalesce(F.max(F.size("children")), F.lit(0))).first()[0]
-    signed = canonicalize(nodes, rep, arity).join(rep, ["inst", "id"]).select("inst", "id", "op", "children", "rep")
+    signed = of_class(canonicalize(nodes, classes, arity)).select("inst", "id", "op", "children", "rep")
     # terms of one signature and class need one row
     signed = written(signed.groupBy("inst", "op", "children", "rep").agg(F.min("id").alias("id")), "signatures")
     marks.append(time.perf_counter())
@@ -132,6 +133,7 @@ def close_rounds(nodes: DataFrame, equalities: DataFrame, max_rounds: int = 200,
     if spent is not None:
         marks.append(time.perf_counter())
         spent |= {p: y - x for p, x, y in zip(("merge_s", "build_s", "rebuild_s"), marks, marks[1:])}
+    rep = of_class(nodes.select("inst", "id")).select("inst", "id", "rep")
     if moves is not None:
         rep = rep.join(moves, ["inst", "rep"], "left").select("inst", "id", F.coalesce("__to", "rep").alias("rep"))
     return rep, rounds
@@ -144,8 +146,9 @@ def close_kernel(nodes: list[tuple[int, str, tuple[int, ...]]], equalities: list
     ``build_s`` (parents and use lists), ``merge_s`` (asserted equalities) and
     ``rebuild_s`` (the rounds).
 
-    Use lists move to the larger class; a round looks at the users of classes that
-    the round before has changed, with the classes of its beginning."""
+    A table keeps every signature's first term. The class with fewer users joins the
+    other; only its users get new signatures, and are looked up in the next round, with
+    the classes of its beginning."""
     marks = [time.perf_counter()]
     parent = {i: i for i, _, _ in nodes}
     for _, _, children in nodes:
@@ -167,40 +170,38 @@ def close_kernel(nodes: list[tuple[int, str, tuple[int, ...]]], equalities: list
             terms[i] = (op, children)
             for c in set(children):
                 users[c].append(i)
-    size = dict.fromkeys(parent, 1)
 
-    def merge(a: int, b: int) -> int | None:
+    def merge(a: int, b: int) -> list[int]:
+        """The users whose signatures change; none if a and b are one class already."""
         a, b = root(a), root(b)
         if a == b:
-            return None
-        if size[a] < size[b]:
+            return []
+        if len(users[a]) < len(users[b]):
             a, b = b, a
         parent[b] = a
-        size[a] += size[b]
-        if len(users[a]) < len(users[b]):
-            users[a], users[b] = users[b], users[a]
-        users[a] += users.pop(b)
-        return a
+        merged.append(a)
+        users[a] += (moved := users.pop(b))
+        return moved
 
+    merged: list[int] = []  # one entry for each merge
     marks.append(time.perf_counter())
     for a, b in equalities:
         merge(a, b)
     marks.append(time.perf_counter())
+    first: dict[tuple, int] = {}
     work, rounds = list(terms), 0
     while work:
         if deadline is not None and time.monotonic() > deadline:
             raise TimeoutError(f"no fixpoint after {rounds} rounds")
-        first: dict[tuple, int] = {}
         pairs = []
-        for i in work:
+        for i in dict.fromkeys(work):
             op, children = terms[i]
-            signature = (op, tuple(map(root, children)))
-            other = first.setdefault(signature, i)
+            other = first.setdefault((op, tuple(map(root, children))), i)
             if other != i:
                 pairs.append((other, i))
-        changed = {m for a, b in pairs if (m := merge(a, b)) is not None}
-        rounds += bool(changed)
-        work = list({i for c in {root(c) for c in changed} for i in users[c]})
+        before = len(merged)
+        work = [i for a, b in pairs for i in merge(a, b)]
+        rounds += len(merged) > before
     if spent is not None:
         marks.append(time.perf_counter())
         spent |= {p: b - a for p, a, b in zip(("build_s", "merge_s", "rebuild_s"), marks, marks[1:])}
@@ -223,7 +224,8 @@ def close_grouped(nodes: DataFrame, equalities: DataFrame) -> DataFrame:
         return pa.table({"inst": pa.array([key[0].as_py()] * len(ids), key[0].type), "id": pa.array(ids, pa.int64()), "rep": pa.array([rep[i] for i in ids], pa.int64()), "rounds": pa.array([rounds] * len(ids), pa.int32())})
 
     left = nodes.select("inst", "id", "op", "children").groupBy("inst")
-    return left.cogroup(equalities.select("inst", "a", "b").groupBy("inst")).applyInArrow(run, f"inst {kind}, id bigint, rep bigint, rounds int")
+    right = equalities.select(F.col("inst").alias("inst"), "a", "b")  # a column of its own, if both come from one table
+    return left.cogroup(right.groupBy("inst")).applyInArrow(run, f"inst {kind}, id bigint, rep bigint, rounds int")
 
 
 def violated(constraints: DataFrame, rep: DataFrame) -> DataFrame:

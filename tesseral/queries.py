@@ -6,15 +6,16 @@ rows is tied to it. The engine that solves scripts also closes these terms.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions.terms import PHASES, display, expected_verdict, timing_field, timing_line
 from tesseral.operators import closure, collect_reduce, components, diagnostics
 from tesseral.plans.solver import solve_scripts, totals
-from tesseral.plans.storage import written
+from tesseral.plans.storage import new_path, written
 from tesseral.sources import generate
-from tesseral.sources.scripts import constraint_table, declaration_table, node_table, parse_scripts
+from tesseral.sources.scripts import constraint_table, declaration_table, node_table, parse_scripts, scan_scripts, write_scripts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +66,13 @@ def cc_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cc_orders_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a task for each instance: here the orders of each status."""
+    """The same with a task for each instance: here the customers of a nation and
+    segment with their orders, as equal customers share both."""
     nodes, equal = _order_terms(spark, sf_dir)
-    status = F.when(F.col("id") % 3 == 1, F.substring("op", 1, 1))
-    every = nodes.withColumn("s", status).select("s").filter("s IS NOT NULL").distinct()
-    split = nodes.withColumn("s", status)
-    split = split.filter("s IS NOT NULL").select(F.col("s").alias("inst"), "id", "op", "children").union(split.filter("s IS NULL").drop("s", "inst").join(every, how="cross").select(F.col("s").alias("inst"), "id", "op", "children"))
-    rep = closure.close_grouped(split, equal.drop("inst").join(every, how="cross").select(F.col("s").alias("inst"), "a", "b"))
+    home = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("home"), F.concat_ws(" ", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("inst"))
+    split = nodes.drop("inst").withColumn("home", F.coalesce(F.get("children", F.lit(0)), "id")).join(home, "home").select("inst", "id", "op", "children")
+    pairs = equal.drop("inst").join(home.withColumnRenamed("home", "a"), "a").select("inst", "a", "b")
+    rep = closure.close_grouped(split, pairs)
     return rep.filter("id % 3 = 1").select(F.expr("(id - 1) div 3").alias("o_orderkey"), F.expr("(rep - 1) div 3").alias("class_rep"))
 
 
@@ -87,34 +88,28 @@ def cc_lineitem_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("o_rep", "p_rep").agg(F.sum("n").alias("n_lines")).select(F.expr("(o_rep - 1) div 3").alias("order_rep"), F.expr("(p_rep - 2) div 3").alias("part_rep"), "n_lines")
 
 
-_FEW = "l_quantity = 50 AND l_discount = 0.1"
-
-
-def _bipartite(spark: SparkSession, sf_dir: str, where: str = _FEW) -> DataFrame:
-    """Parts and suppliers linked by line items: few of them where recursive SQL has
-    to follow, all of them for the queries named ..._all."""
-    lines = table(spark, sf_dir, "lineitem").filter(where)
+def _bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of parts and suppliers linked by any line item."""
+    lines = table(spark, sf_dir, "lineitem")
     return components.connected_components(lines.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
 
 
-def uf_part_supplier_components(spark: SparkSession, sf_dir: str, where: str = _FEW) -> DataFrame:
-    return _bipartite(spark, sf_dir, where).select(F.col("id").alias("vertex"), F.col("rep").alias("component"))
-
-
-def uf_part_supplier_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uf_part_supplier_components(spark, sf_dir, "true")
+def uf_part_supplier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bipartite(spark, sf_dir).select(F.col("id").alias("vertex"), F.col("rep").alias("component"))
 
 
-def same_set_pairs(spark: SparkSession, sf_dir: str, where: str = _FEW) -> DataFrame:
-    """Are the part and the supplier of a line in one component; unknown ids are
-    alone."""
-    rep = _bipartite(spark, sf_dir, where)
+def same_set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are the part and the supplier of a line in one component."""
     asked = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
-    return components.same_set(asked, rep, "a", "b")
+    return components.same_set(asked, _bipartite(spark, sf_dir), "a", "b")
 
 
-def same_set_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return same_set_pairs(spark, sf_dir, "true")
+def same_set_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the customer of an order in one class with the customer a few keys on; ids
+    beyond the table are alone."""
+    rep = components.connected_components(_customer_edges(spark, sf_dir))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("b")).distinct()
+    return components.same_set(asked, rep, "a", "b")
 
 
 def diseq_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,16 +144,12 @@ def term_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("id", display(F.col("op"), F.col("children")).alias("shown"))
 
 
-def canonical_terms(spark: SparkSession, sf_dir: str, where: str = _FEW) -> DataFrame:
+def canonical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms over parts and suppliers with representatives in place of children."""
-    rep = _bipartite(spark, sf_dir, where).withColumn("inst", F.lit("x"))
+    rep = _bipartite(spark, sf_dir).withColumn("inst", F.lit("x"))
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("p"), (F.col("l_suppkey") * 2 + 1).alias("s")).distinct()
     nodes = lines.select(F.lit("x").alias("inst"), (F.col("p") * 1_000_000 + F.col("s")).alias("id"), F.lit("supplies").alias("op"), F.array("p", "s", "p").alias("children"))
-    return closure.canonicalize(nodes, rep).select("id", display(F.col("op"), F.col("children")).alias("shown"))
-
-
-def canonical_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_terms(spark, sf_dir, "true")
+    return closure.canonicalize(nodes, rep, 3).select("id", display(F.col("op"), F.col("children")).alias("shown"))
 
 
 def frontier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +177,7 @@ def collect_reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collect_reduce_par_sort_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 5000).alias("key"), F.col("l_quantity").cast("bigint").alias("val"))
-    return collect_reduce.collect_reduce_sorted(data, "key", "val", lambda v: int(v.sum()), sum, "total", "bigint", 5000)
+    return collect_reduce.collect_reduce_sorted(data, "key", "val", name="total", kind="bigint", buckets=5000, reduceat=np.add.reduceat)
 
 
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +195,7 @@ def speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIZES = [("chain", 0), ("chain", 4), ("chain", 50), ("grid", 1), ("grid", 4), ("grid", 16), ("cube", 2), ("cube", 6), ("exp", 0), ("exp", 3), ("exp", 8)]
+_WIDE = [x for x in _SIZES if x not in (("chain", 50), ("exp", 8))]
 
 
 def generated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +204,8 @@ def generated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by bulk-synchronous rounds, for some of them."""
-    parsed = written(parse_scripts(generate.instances(spark, [("grid", 4), ("cube", 2), ("exp", 3), ("chain", 4)])), "parsed")
+    """The same by bulk-synchronous rounds, for those that take up to nine."""
+    parsed = written(parse_scripts(generate.instances(spark, _WIDE)), "parsed")
     nodes, said = node_table(parsed), constraint_table(parsed)
     rep, _ = closure.close_rounds(nodes, said.filter("kind = 'eq'"))
     counts = diagnostics.class_counts(rep)
@@ -233,6 +225,11 @@ _SCRIPTS = [
     ("inner", "(declare-const p Bool)(declare-const q Bool)(assert (= p (and p q)))"),
     ("unclosed", "(assert (= a b)"),
     ("undeclared", "(assert (= a b))"),
+    ("alias", "(declare-sort U 0)(define-sort V () U)(declare-const a U)(declare-const b V)(assert (= a b))(assert (not (= b a)))"),
+    ("no_sort", "(declare-const a Nowhere)"),
+    ("twice", "(declare-const p Bool)(declare-const p Bool)"),
+    ("bound", "(declare-const p Bool)(assert (= x (let ((x p)) x)))"),
+    ("binder", "(declare-const p Bool)(assert (let (((x) p)) p))"),
 ]
 
 
@@ -246,19 +243,38 @@ def smt2_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smt2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = node_table(parse_scripts(_scripts(spark).filter("inst = 'congruence'")))
-    return nodes.select("inst", "id", display(F.col("op"), F.col("children")).alias("shown"))
+    return node_table(parse_scripts(_scripts(spark))).select("inst", "id", display(F.col("op"), F.col("children")).alias("shown"))
 
 
 def smt2_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraint_table(parse_scripts(_scripts(spark).filter("inst = 'congruence'")))
+    return constraint_table(parse_scripts(_scripts(spark)))
 
 
 def smt2_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = declaration_table(parse_scripts(_scripts(spark).filter("inst = 'congruence'")))
+    found = declaration_table(parse_scripts(_scripts(spark)))
     return found.select("inst", "symbol", F.array_join("arg_sorts", " ").alias("arg_sorts"), "ret_sort")
 
 
+def smt2_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script file for each nation, written, scanned from its folder and solved:
+    neighbours by key in a segment are equal, and a function is said to differ on the
+    nation's first and last customer."""
+    edges = _customer_edges(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), "c_nationkey"), "a")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), lambda e: F.format_string("(declare-const c%d U)", e["a"]))
+    equal = F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), lambda e: F.format_string("(assert (= c%d c%d))", e["a"], e["b"]))
+    differ = F.format_string("(assert (not (= (f c%d) (f c%d))))(check-sat)", F.min("a"), F.max("a"))
+    head = F.lit("(set-logic QF_UF)(declare-sort U 0)(declare-fun f (U) U)")
+    scripts = edges.groupBy("c_nationkey").agg(F.concat(head, F.array_join(said, ""), F.array_join(equal, "\n"), differ).alias("text"))
+    folder = new_path(spark, "scripts")
+    write_scripts(scripts.select(F.format_string("nation_%d.smt2", "c_nationkey").alias("inst"), "text"), folder)
+    return solve_scripts(scan_scripts(spark, folder)).select("inst", "verdict", "n_nodes", "n_classes")
+
+
+def print_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = components.connected_components(_customer_edges(spark, sf_dir)).withColumn("inst", F.lit("customers"))
+    return diagnostics.class_header(rep).select("line")
+
+
 def suite_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(solve_scripts(_scripts(spark))).select("n", "n_sat", "n_unsat", "n_error")
 
@@ -277,23 +293,25 @@ def expected_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        uf_customer_classes, union_all_customers, make_sets, cc_orders, cc_orders_kernel, cc_lineitem_cascade, uf_part_supplier_components, same_set_pairs,
-        diseq_check, hashcons_dedup, num_classes_enodes, print_classes, term_display, canonical_terms, frontier_orders, merge_pairs_round,
+        uf_customer_classes, union_all_customers, make_sets, cc_orders, cc_orders_kernel, cc_lineitem_cascade, uf_part_supplier_components, same_set_pairs, same_set_customers,
+        diseq_check, hashcons_dedup, num_classes_enodes, print_classes, print_header, smt2_scan, term_display, canonical_terms, frontier_orders, merge_pairs_round,
         collect_reduce_sum, collect_reduce_par_sort_sum, upper_median, throughput, speedup, generated_verdicts, generated_rounds, smt2_solve,
         smt2_terms, smt2_constraints, smt2_declarations, suite_totals, timing_round_trip, expected_verdicts,
     )
 }
-#: Without SQL: a recursive one is too slow over all line items.
-WITHOUT_SQL = {f.__name__: f for f in (uf_part_supplier_components_all, same_set_pairs_all, canonical_terms_all)}
-
 _CUSTOMERS = "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS class_rep FROM customer"
 _ORDERS = f"""WITH c AS ({_CUSTOMERS}), o AS (
     SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_orderstatus || o_orderpriority, c.class_rep) AS class_rep
     FROM orders JOIN c ON o_custkey = c_custkey)"""
-_BIPARTITE = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
-    d AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
-    r AS (SELECT u AS vertex, u AS other FROM d UNION SELECT r.vertex, d.v FROM r JOIN d ON r.other = d.u),
-    k AS (SELECT vertex, min(other) AS component FROM r GROUP BY vertex)"""
+# Suppliers of a part are one class; recursion is over suppliers, which are few.
+_BIPARTITE = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS p, l_suppkey * 2 + 1 AS s FROM lineitem),
+    f AS (SELECT p, min(s) AS s FROM e GROUP BY p),
+    d AS (SELECT DISTINCT e.s AS u, f.s AS v FROM e JOIN f ON e.p = f.p),
+    n AS (SELECT u, v FROM d UNION SELECT v, u FROM d),
+    r AS (SELECT u AS s, u AS o FROM n UNION SELECT r.s, n.v FROM r JOIN n ON r.o = n.u),
+    g AS (SELECT s, min(o) AS o FROM r GROUP BY s),
+    m AS (SELECT g.o, least(min(e.p), min(e.s)) AS component FROM e JOIN g ON e.s = g.s GROUP BY g.o),
+    k AS (SELECT g.s AS vertex, m.component FROM g JOIN m ON g.o = m.o UNION ALL SELECT f.p, m.component FROM f JOIN g ON f.s = g.s JOIN m ON g.o = m.o)"""
 _FORMS = {
     "chain": lambda n: (4 * n + 2, n + 1, n),
     "grid": lambda n: (4 * n**2 + 2 * n - 2, 2 * n**2 + n - 1, None),
@@ -327,6 +345,8 @@ SQL = {
     "uf_part_supplier_components": f"{_BIPARTITE} SELECT vertex, component FROM k",
     "same_set_pairs": f"""{_BIPARTITE}, q AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem)
         SELECT q.a, q.b, coalesce(x.component, q.a) = coalesce(y.component, q.b) AS same FROM q LEFT JOIN k x ON q.a = x.vertex LEFT JOIN k y ON q.b = y.vertex""",
+    "same_set_customers": f"""WITH c AS ({_CUSTOMERS}), q AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 7 AS b FROM orders)
+        SELECT q.a, q.b, coalesce(x.class_rep, q.a) = coalesce(y.class_rep, q.b) AS same FROM q LEFT JOIN c x ON q.a = x.c_custkey LEFT JOIN c y ON q.b = y.c_custkey""",
     "diseq_check": f"""WITH c AS ({_CUSTOMERS}), l AS (SELECT c_nationkey, c_custkey AS a, lead(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer),
         v AS (SELECT l.c_nationkey, bool_or(x.class_rep = y.class_rep) AS bad FROM l JOIN c x ON l.a = x.c_custkey JOIN c y ON l.b = y.c_custkey GROUP BY 1)
         SELECT CAST(n_nationkey AS VARCHAR) AS inst, CASE WHEN coalesce(bad, false) THEN 'unsat' ELSE 'sat' END AS verdict FROM nation LEFT JOIN v ON n_nationkey = c_nationkey""",
@@ -351,13 +371,22 @@ SQL = {
     "speedup": """WITH b AS (SELECT o_orderstatus, CAST(min(o_orderkey % 1000 + 1) AS DOUBLE) AS best FROM orders GROUP BY 1)
         SELECT o_orderstatus, best, (SELECT best FROM b WHERE o_orderstatus = 'F') / best AS speedup FROM b""",
     "generated_verdicts": _counts(_SIZES, True),
-    "generated_rounds": _counts([("grid", 4), ("cube", 2), ("exp", 3), ("chain", 4)], False),
+    "generated_rounds": _counts(_WIDE, False),
     "smt2_solve": """SELECT * FROM (VALUES ('congruence', 'unsat', NULL), ('operators', 'sat', NULL), ('cycle', 'unsat', NULL), ('reflexive', 'unsat', NULL), ('empty', 'sat', NULL), ('order', 'sat', NULL), ('opaque', 'sat', NULL),
-        ('bare', 'ERROR', 'Unsupported assertion'), ('negated', 'ERROR', 'Unsupported negated assertion'), ('inner', 'ERROR', 'Unsupported term variant'), ('unclosed', 'ERROR', 'Parse error'), ('undeclared', 'ERROR', 'Type-check error')) t(inst, verdict, reason)""",
-    "smt2_terms": "SELECT 'congruence' AS inst, CAST(id AS BIGINT) AS id, shown FROM (VALUES (0, 'a'), (1, 'b'), (2, 'f(0)'), (3, 'f(1)')) t(id, shown)",
-    "smt2_constraints": "SELECT 'congruence' AS inst, CAST(seq AS INTEGER) AS seq, kind, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES (0, 'eq', 0, 1), (1, 'neq', 2, 3)) t(seq, kind, a, b)",
-    "smt2_declarations": "SELECT 'congruence' AS inst, * FROM (VALUES ('f', 'U', 'U'), ('a', '', 'U'), ('b', '', 'U')) t(symbol, arg_sorts, ret_sort)",
-    "suite_totals": "SELECT CAST(12 AS BIGINT) AS n, CAST(4 AS BIGINT) AS n_sat, CAST(3 AS BIGINT) AS n_unsat, CAST(5 AS BIGINT) AS n_error",
+        ('bare', 'ERROR', 'Unsupported assertion'), ('negated', 'ERROR', 'Unsupported negated assertion'), ('inner', 'ERROR', 'Unsupported term variant'), ('unclosed', 'ERROR', 'Parse error'), ('undeclared', 'ERROR', 'Type-check error'),
+        ('alias', 'unsat', NULL), ('no_sort', 'ERROR', 'Type-check error'), ('twice', 'ERROR', 'Type-check error'), ('bound', 'ERROR', 'Type-check error'), ('binder', 'ERROR', 'Parse error')) t(inst, verdict, reason)""",
+    "smt2_terms": """SELECT inst, CAST(id AS BIGINT) AS id, shown FROM (VALUES ('congruence', 0, 'a'), ('congruence', 1, 'b'), ('congruence', 2, 'f(0)'), ('congruence', 3, 'f(1)'),
+        ('operators', 0, 'a'), ('operators', 1, 'b'), ('operators', 2, 'f(0)'), ('operators', 3, 'g(1)'), ('cycle', 0, 'a'), ('cycle', 1, 'f(0)'), ('cycle', 2, 'f(1)'), ('reflexive', 0, 'a'),
+        ('order', 0, 'a'), ('order', 1, 'b'), ('order', 2, 'f(0, 1)'), ('order', 3, 'f(1, 0)'), ('opaque', 0, 'true'), ('opaque', 1, 'false'), ('alias', 0, 'a'), ('alias', 1, 'b')) t(inst, id, shown)""",
+    "smt2_constraints": """SELECT inst, CAST(seq AS INTEGER) AS seq, kind, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES ('congruence', 0, 'eq', 0, 1), ('congruence', 1, 'neq', 2, 3),
+        ('operators', 0, 'eq', 0, 1), ('operators', 1, 'neq', 2, 3), ('cycle', 0, 'eq', 1, 0), ('cycle', 1, 'neq', 2, 0), ('reflexive', 0, 'neq', 0, 0), ('order', 0, 'neq', 2, 3), ('opaque', 0, 'eq', 0, 1),
+        ('alias', 0, 'eq', 0, 1), ('alias', 1, 'neq', 1, 0)) t(inst, seq, kind, a, b)""",
+    "smt2_declarations": """SELECT * FROM (VALUES ('congruence', 'f', 'U', 'U'), ('congruence', 'a', '', 'U'), ('congruence', 'b', '', 'U'), ('operators', 'f', 'U', 'U'), ('operators', 'g', 'U', 'U'), ('operators', 'a', '', 'U'), ('operators', 'b', '', 'U'),
+        ('cycle', 'f', 'U', 'U'), ('cycle', 'a', '', 'U'), ('reflexive', 'a', '', 'U'), ('order', 'f', 'U U', 'U'), ('order', 'a', '', 'U'), ('order', 'b', '', 'U'), ('alias', 'a', '', 'U'), ('alias', 'b', '', 'U')) t(inst, symbol, arg_sorts, ret_sort)""",
+    "smt2_scan": """WITH n AS (SELECT c_nationkey, count(*) AS c, count(DISTINCT c_mktsegment) AS s, min(c_custkey) = max(c_custkey) AS one, arg_min(c_mktsegment, c_custkey) = arg_max(c_mktsegment, c_custkey) AS same FROM customer GROUP BY 1)
+        SELECT 'nation_' || c_nationkey || '.smt2' AS inst, CASE WHEN same THEN 'unsat' ELSE 'sat' END AS verdict, CAST(c + CASE WHEN one THEN 1 ELSE 2 END AS BIGINT) AS n_nodes, CAST(s + CASE WHEN same THEN 1 ELSE 2 END AS BIGINT) AS n_classes FROM n""",
+    "print_header": f"SELECT count(DISTINCT class_rep) || ' classes, ' || count(*) || ' terms' AS line FROM ({_CUSTOMERS})",
+    "suite_totals": "SELECT CAST(17 AS BIGINT) AS n, CAST(4 AS BIGINT) AS n_sat, CAST(4 AS BIGINT) AS n_unsat, CAST(9 AS BIGINT) AS n_error",
     "timing_round_trip": "SELECT n_nationkey, 'timing: ' || "
     + " || ' ' || ".join(f"printf('{p}=%.6f', n_nationkey / {k + 2}.0::DOUBLE)" for k, p in enumerate(PHASES))
     + " AS line, "

@@ -27,6 +27,20 @@ def plain_classes(edges):
     return {x: find(x) for x in list(rep)}
 
 
+@pytest.mark.parametrize("small", [components.SMALL_EDGES, 30, 0])
+def test_components_of_plain_ids(spark, small):
+    rng = random.Random(2)
+    for low, step in ((-50, 1), (-(2**62), 2**55)):  # ids that fill their range, and ids that don't
+        edges = [(low + step * rng.randrange(120), low + step * rng.randrange(120)) for _ in range(90)] + [(low, low), (7, None)]
+        frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(9)
+        got = {r.id: r.rep for r in components.connected_components(frame, small=small).collect()}
+        assert got == plain_classes([e for e in edges if None not in e])
+    narrow = frame.filter("false").select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    assert components.connected_components(narrow, small=small).schema["rep"].dataType.simpleString() == "int"
+    words = spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "x"), ("y", None)], "a string, b string")
+    assert {r.id: r.rep for r in components.connected_components(words, small=max(small, 9)).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x"}
+
+
 @pytest.mark.parametrize("small", [components.SMALL_EDGES, 0])
 def test_components(spark, small):
     rng = random.Random(1)
@@ -85,6 +99,27 @@ def random_terms(rng):
     return nodes, [(rng.randrange(len(nodes)), rng.randrange(len(nodes))) for _ in range(rng.randrange(1, 5))]
 
 
+def test_children_without_a_node_of_their_own(spark):
+    nodes = spark.createDataFrame([(7, 10, "f", [1]), (7, 11, "f", [2]), (7, 12, "g", [10, 2, 1, 3])], "inst int, id bigint, op string, children array<bigint>")
+    pairs = spark.createDataFrame([(7, 1, 2)], "inst int, a bigint, b bigint")
+    for rep in (closure.close_rounds(nodes, pairs)[0], closure.close_grouped(nodes, pairs)):
+        assert sorted((r.inst, r.id, r.rep) for r in rep.select("inst", "id", "rep").collect()) == [(7, 10, 10), (7, 11, 10), (7, 12, 12)]
+
+
+def test_wide_terms_close_in_rounds(spark):
+    rng, terms, equal, want = random.Random(9), [], [], {}
+    for k in range(6):
+        nodes, pairs = random_terms(rng)
+        nodes += [(50 + j, "w", tuple(rng.randrange(5) for _ in range(5))) for j in range(4)] + [(60, "v", (50, 0, 0, 0)), (61, "v", (51, 0, 0, 0))]
+        pairs += [(0, 1), (2, 3)]
+        terms += [(f"i{k}", i, op, list(ch)) for i, op, ch in nodes]
+        equal += [(f"i{k}", a, b) for a, b in pairs]
+        want |= {(f"i{k}", i): r for i, r in closure.close_kernel(nodes, pairs)[0].items()}
+    spent = {}
+    got = closure.close_rounds(spark.createDataFrame(terms, "inst string, id bigint, op string, children array<bigint>"), spark.createDataFrame(equal, "inst string, a bigint, b bigint"), spent=spent)[0]
+    assert {(r.inst, r.id): r.rep for r in got.collect()} == want and set(spent) == {"merge_s", "build_s", "rebuild_s"}
+
+
 def test_kernel_equals_naive_closure():
     rng = random.Random(5)
     for _ in range(200):
@@ -140,6 +175,13 @@ def test_keyed_aggregation(spark):
     assert {r.k: r.s for r in collect_reduce.collect_reduce(data, "k", s=F.sum("v")).collect()} == want
     own = collect_reduce.collect_reduce_sorted(data, "k", "v", lambda v: int(v.sum()), sum, "s", "bigint")
     assert {None if r.k is None else int(r.k): r.s for r in own.collect()} == want
+    sums = collect_reduce.collect_reduce_sorted(data, "k", "v", name="s", kind="bigint", reduceat=np.add.reduceat)
+    assert {r.k: r.s for r in sums.collect()} == want
+    lists = collect_reduce.collect_reduce_sorted(data, "k", "v", lambda v: sorted(v.tolist()), lambda s: sorted(x for part in s for x in part), "s", "array<bigint>")
+    assert {r.k: r.s for r in lists.collect()} == {k: sorted(v for q, v in rows if q == k) for k in want}
+    assert collect_reduce.collect_reduce_sorted(data.filter("false"), "k", "v", name="s", kind="bigint", reduceat=np.add.reduceat).count() == 0
+    alone = collect_reduce.collect_reduce_sequential(data.filter("k IS NOT NULL"), "k", "v", 12, "s")
+    assert {r.k: r.s for r in alone.collect()} == {k: want.get(k, 0) for k in range(12)}
     full = collect_reduce.collect_reduce(data, "k", 12, s=F.sum("v"))
     assert {r.k: r.s for r in full.collect()} == {k: want.get(k, 0) for k in range(12)}
 
@@ -147,6 +189,11 @@ def test_keyed_aggregation(spark):
 def test_statistics(spark):
     data = spark.createDataFrame([("a", float(x)) for x in (5, 1, 3, 2)] + [("b", 7.0), ("b", None)], "k string, v double")
     assert {r.k: r.upper_median for r in diagnostics.upper_medians(data, ["k"], "v").collect()} == {"a": 3.0, "b": 7.0}
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, rng.random() * 9])) for _ in range(400)]
+    many = diagnostics.upper_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    of = lambda k: sorted(v for q, v in rows if q == k and v is not None)
+    assert {r.k: r.upper_median for r in many.collect()} == {k: of(k)[len(of(k)) // 2] for k in ("a", "b", None)}
     fast = diagnostics.speedup(data.filter("v IS NOT NULL"), "k", "v", "b")
     assert {r.k: r.speedup for r in fast.collect()} == {"a": 7.0, "b": 1.0}
 
@@ -229,6 +276,6 @@ def test_part_supplier_queries_over_all_line_items(spark, tmp_path):
     rep = plain_classes(pairs)
     assert len(set(rep.values())) > 6
     rows = lambda name, *cols: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select(*cols).collect())
-    assert rows("uf_part_supplier_components_all", "vertex", "component") == sorted(rep.items())
-    assert rows("same_set_pairs_all", "a", "b", "same") == [(a, b, True) for a, b in pairs]
-    assert rows("canonical_terms_all", "id", "shown") == sorted((a * 1_000_000 + b, f"supplies({rep[a]}, {rep[b]}, {rep[a]})") for a, b in pairs)
+    assert rows("uf_part_supplier_components", "vertex", "component") == sorted(rep.items())
+    assert rows("same_set_pairs", "a", "b", "same") == [(a, b, True) for a, b in pairs]
+    assert rows("canonical_terms", "id", "shown") == sorted((a * 1_000_000 + b, f"supplies({rep[a]}, {rep[b]}, {rep[a]})") for a, b in pairs)

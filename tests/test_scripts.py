@@ -86,6 +86,57 @@ def test_errors_are_rows(text, error):
     assert out["verdict"] == "ERROR" and out["error"].startswith(error)
 
 
+CHECKED = [
+    ("(declare-const a Nowhere)", "Type-check error: undeclared sort Nowhere"),
+    ("(declare-sort U 1)(declare-const a U)", "Type-check error: undeclared sort U"),
+    ("(declare-sort U 0)(declare-sort U 0)", "Type-check error: sort U is declared twice"),
+    ("(declare-sort Bool 0)", "Type-check error: sort Bool is declared twice"),
+    ("(declare-sort U 0)(declare-const a U)(declare-fun a (U) U)", "Type-check error: a is declared twice"),
+    ("(declare-const p Bool)(assert (= x (let ((x p)) x)))", "Type-check error: undeclared symbol x"),
+    ("(declare-const p Bool)(assert (let (((x) p)) p))", "Parse error: malformed let"),
+    ("(declare-const p Bool)(assert (let x p))", "Parse error: malformed let"),
+    ("(declare-const p Bool)(assert (forall ((x Nowhere)) (= x x)))", "Type-check error: undeclared sort"),
+    ("(push 1)(declare-const p Bool)(pop 1)(assert (= p p))", "Type-check error: undeclared symbol p"),
+    ("(pop 1)", "Type-check error: pop of 1"),
+    ("(push x)", "Parse error: malformed push"),
+    ("(declare-const p Bool)(assert (= p p))(reset)(assert (= p p))", "Type-check error: undeclared symbol p"),
+    ("(declare-const 5 Bool)", "Parse error: malformed declare-const"),
+    ("(define-fun f ((x Bool)) Bool (= x y))", "Type-check error: undeclared symbol y"),
+]
+
+
+@pytest.mark.parametrize(("text", "error"), CHECKED)
+def test_sorts_scopes_and_binders(text, error):
+    out = solve_text(text)
+    assert out["verdict"] == "ERROR" and out["error"].startswith(error), out["error"]
+
+
+def test_defined_sorts_and_scopes():
+    assert solve_text("(declare-sort U 0)(define-sort V () U)(declare-const a U)(declare-const b V)(assert (= a b))")["verdict"] == "sat"
+    assert solve_text("(declare-sort P 2)(declare-sort U 0)(define-sort D (X) (P X X))(declare-const a (D U))(declare-const b (P U U))(assert (= a b))(assert (not (= b a)))")["verdict"] == "unsat"
+    assert solve_text("(push 1)(declare-const p Bool)(assert (= p p))(pop 1)(declare-const p Int)(assert (= p 1))")["verdict"] == "sat"
+    assert solve_text("(declare-const v (_ BitVec 8))(assert (= v #xff))(assert (not (= #xff v)))")["verdict"] == "unsat"
+
+
+def test_no_text_fails_the_job(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    parts = ["(", ")", "(assert", "(= a b)", "(let", "((x a))", "((x", "declare-fun", "(declare-const a U)", "(declare-sort U 0)", "a", "b", "x", "not", "(_ f 1)", "12", '"s"', "|q|", "(push 1)", "(pop 1)", "!", ":named", "forall", "define-sort", "(as a U)", "#x", "()"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["((" * 50_000, "(declare-const a " + "(P " * 5_000 + ")" * 5_001]
+    assert {solve_text(t)["verdict"] for t in texts} <= {"sat", "unsat", "ERROR"}
+    from tesseral.plans import solver
+
+    monkeypatch.setattr(solver, "close_kernel", lambda *a: 1 / 0)
+    out = solver.solve_text(goal([("a", "b")], []))
+    assert (out["verdict"], out["error"][:33]) == ("ERROR", "Internal error: ZeroDivisionError")
+
+
+def test_phases_are_apart():
+    out = solve_text(generate.grid(12))
+    assert min(out["parse_s"], out["build_s"], out["merge_s"], out["rebuild_s"]) > 0 and out["solve_s"] <= out["total_s"]
+
+
 def test_odd_scripts():
     assert solve_text(None)["verdict"] == solve_text("; nothing")["verdict"] == "sat"
     assert solve_text("(assert (= true false))")["verdict"] == "sat"  # constants are opaque
