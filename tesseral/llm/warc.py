@@ -124,23 +124,28 @@ def parse_records(data: bytes):
     return stream_records([data])
 
 
-def _plain(chunks):
-    """Bytes of gzipped or plain chunks, a megabyte at a time."""
+def _plain(chunks, window: int = 1 << 14):
+    """Bytes of gzipped or plain chunks, a megabyte at a time at most. Packed bytes go
+    in by windows, as what is left behind a member's end is copied."""
     packed, unpacker = None, None
     for chunk in chunks:
         if packed is None:
-            packed = chunk[:2] == b"\x1f\x8b"
+            packed = bytes(chunk[:2]) == b"\x1f\x8b"
         if not packed:
             yield chunk
             continue
-        while chunk:
+        view, at = memoryview(chunk), 0
+        while at < len(view):
             unpacker = unpacker or zlib.decompressobj(31)
-            out = unpacker.decompress(chunk, 1 << 20)
-            chunk = unpacker.unconsumed_tail or unpacker.unused_data
+            part = view[at : at + window]
+            out = unpacker.decompress(part, 1 << 20)
+            at += len(part) - len(unpacker.unused_data) - len(unpacker.unconsumed_tail)
             if unpacker.eof:
                 unpacker = None
             if out:
                 yield out
+        while unpacker is not None and (out := unpacker.decompress(unpacker.unconsumed_tail, 1 << 20)):
+            yield out
 
 
 def stream_records(chunks):
