@@ -252,18 +252,23 @@ def test_licenses_against_containment(spark):
             texts.append(f"{filler(7)} {' '.join(cut[: len(cut) - 4])} {filler(9)}")
     texts += [filler(500), None, "", "MIT License", "word " * 30_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("license", F.lit("clash"))
-    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()}
+    got = {(r.doc_id, r.license, r.containment, r.first_shingle) for r in licenses.scan_licenses(docs).collect()}
 
     def shingles(t):
         w = [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
         return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
-    want = set()
+    want = {}
     for i, t in enumerate(texts):
         s = shingles(t)
         for name, notice in licenses.NOTICES:
             q = set(shingles(notice))
-            if q and any(len(q & set(s[a : a + len(q)])) >= 0.75 * len(q) for a in range(max(1, len(s)))):
-                want.add((i, name))
-    assert want and want <= got and all(i < len(texts) - 5 for i, _ in got)
+            if q:
+                k = 1 << (len(q) - 1).bit_length()  # windows of 2k shingles, k / 2 apart
+                best = max(((len(q & set(s[a : a + 2 * k])) / len(q), -a) for a in range(0, len(s), max(1, k // 2))), default=(0, 0))
+                if best[0] >= 0.75:
+                    want[i, name] = max(best, want.get((i, name), (0, 0)))
+    assert want and got == {(i, n, c, -a) for (i, n), (c, a) in want.items()} and all(i < len(texts) - 5 for i, *_ in got)
+    short = licenses._scan_block(docs, "doc_id", "text", licenses.NOTICES, 0.75, 32, 5, segment=64)
+    assert {(r.doc_id, r.license) for r in short.collect()} == set(want)
     assert licenses.scan_licenses(docs.filter("false")).count() == 0
