@@ -39,3 +39,27 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in one) == ["1", "2", "3"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def test_own_columns_and_long_texts(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, Score string, predicted string, held_out int, spans string, n_hex string, id int, key int, uid string, word string"
+    prose = "the weather in the valley was mild and the river ran slow past the old mill while farmers brought in hay."
+    token = "0123456789abcdef0123456789abcdef"
+    rows = [(i, f"{prose} Story number {i} tells of {i * 7} sheep, {i * 3} goats and a dog called Rex{i}.", "en", "a", 0) for i in range(6)]
+    rows += [(10, "long " + " ".join(f"w{k}" for k in range(60_000)) + f" token = {token}", "en", "b", 0), (11, "x" * 400_000, "en", "b", 0), (12, f"see {token} there", "en", "a", 0)]
+    own = ("s", "p", 3, "sp", "h", 4, 5, "u", "w")
+    docs = written(spark.createDataFrame([(*r, *own) for r in rows], schema), "own")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found or name == "quality classifier"
+        assert all(tuple(r)[5:] == own for r in found), name
+        if name == "secret scans":
+            text = {r.doc_id: r.text for r in found}
+            assert text[12] == "see [SECRET] there" and text[10].endswith("w59999 [SECRET]") and token not in text[10]
+            assert all(r.n_chars == len(r.text) for r in found)
+        if name == "benchmark decontamination":
+            assert len(found) == len(rows)
+    mixed = {r.doc_id: r for r in corpus_pipeline.mix(spark, docs, SF).collect()}
+    assert mixed[10]["size"] == 60_004 and len(mixed) == len(rows)
