@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). Stages
 are written as Parquet and read again by the next one. All but the last return the
-columns of ``documents``; the last returns the mix.
+columns of ``documents``; the last returns the mix. Columns of the documents that are
+named like an operator's keep their own values.
 """
 
 from __future__ import annotations
@@ -18,10 +19,18 @@ from tesseral.llm.quality import classify_quality
 from tesseral.llm.secrets import learn_field, scan_secrets
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict]:
+    """``docs`` with its own columns of these names renamed, so that an operator's
+    columns don't take their place, and how to name them again."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(own), {b: a for a, b in own.items()}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.3 and above)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify_quality(docs, labels, threshold=0.3).filter("predicted = 1").select(*docs.columns)
+    rows, back = _aside(docs, "held_out", "score", "predicted")
+    return classify_quality(rows, labels, threshold=0.3).filter("predicted = 1").withColumnsRenamed(back).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [SECRET] in place of secrets; n_chars follows the text."""
-    clean = scan_secrets(docs, learn_field(docs), redacted_col="text")
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    rows, back = _aside(docs, "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    clean = scan_secrets(rows, learn_field(docs), redacted_col="text")
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).withColumnsRenamed(back).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ def _solve(args: argparse.Namespace) -> int:
         from pyspark.sql import functions as F
 
         from tesseral.plans.solver import solve_terms
+        from tesseral.plans.storage import clear_written
         from tesseral.sources.scripts import constraint_table, node_table, parse_scripts
 
         spark = _session()
@@ -37,6 +38,7 @@ def _solve(args: argparse.Namespace) -> int:
             print(row.error, file=sys.stderr)
             return 1
         print(solve_terms(node_table(parsed), constraint_table(parsed), "rounds", parsed.select(F.col("inst"))).first().verdict)
+        clear_written(spark)
         return 0
     out = solve_text(text)
     if out["error"]:

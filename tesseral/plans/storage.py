@@ -7,6 +7,7 @@ true size at each step; checkpointed frames keep estimates that multiply.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,18 +16,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where it is unset (tests, one machine) a temporary folder
-    is made and set as the checkpoint folder."""
+    the session. Only on one machine, where it is unset, a temporary folder is made and
+    set as the checkpoint folder; on a cluster that raises ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tesseral-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_MADE: list[str] = []  # folders of this process
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tesseral-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tesseral-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete all tables that this process has written and not dropped: once results
+    that come from them are saved or collected."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
@@ -39,10 +54,13 @@ def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables made by :func:`written` that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, folder)

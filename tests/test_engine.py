@@ -252,6 +252,16 @@ def test_shared_folder_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from tesseral.plans import storage
+
+    monkeypatch.setattr(storage, "_MADE", [])
+    monkeypatch.setattr(storage, "shared_dir", lambda s: f"file://{tmp_path}")
+    assert written(spark.range(3), "some").count() == 3 and len(list(tmp_path.iterdir())) == 1
+    storage.clear_written(spark)
+    assert not list(tmp_path.iterdir()) and not storage._MADE
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
