@@ -75,6 +75,9 @@ def solve_dual(counts: DataFrame, targets: DataFrame, cap: float = 2.0, steps: i
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= 0:
             break
+    else:
+        if worst > 1e-6:
+            raise RuntimeError(f"the dual is off by {worst:.2g} after {steps} steps")
     return state.select("sid", "target", "source_size", "mean", F.round("lam", 12).alias("lam"))
 
 
@@ -83,7 +86,8 @@ def whole_copies(counts: DataFrame, dual: DataFrame, cap: int = 2, rounds: int =
 
     Rates are summed from the largest size down, in millionths, and cut at whole
     numbers; this keeps each prefix within one copy. What a source then lacks or has
-    too much is made up by the largest size that fits, again and again."""
+    too much is made up by the largest size that fits, again and again, until none fits or
+    ``rounds`` are over; what is left then is less than the smallest size used last."""
     rows = counts.join(dual, "sid").select("sid", "size", "n", "target", F.round(_rate(cap) * F.col("n") * 1_000_000).cast("bigint").alias("part"))
     w = Window.partitionBy("sid").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     total, half = F.sum("part").over(w), F.lit(500_000)
@@ -112,20 +116,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own; repeated rows are documents of their own. Reruns agree: sums that decide
     are of whole numbers and order is by hashes of the id.
 
-    The texts are read once. Copies of documents of one source and size are dealt in
-    blocks of about ``block_rows`` by a hash, so no task holds all of a hot group."""
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    The texts are read once; an empty table gives no row. Copies of documents of one
+    source and size are dealt in blocks of about ``block_rows`` by a hash of the id, and
+    rows that share even the id in blocks by row, so no task holds all of a hot group."""
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     targets = written(source_targets(sized.select("source", "size"), weights, share, cap), "targets")
     keyed = sized.join(targets.select(F.col("source").alias("of"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     counts = written(keyed.groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
     copies = whole_copies(counts, solve_dual(counts, targets, cap), cap)
     blocks = max(1, -(-sized.count() // block_rows))
-    keyed = keyed.withColumn("block", block_number(blocks, F.col("id"), F.lit(3)))
-    w = Window.partitionBy("sid", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows of one id, source and size are alike, so it doesn't matter which of them are taken.
+    many = keyed.groupBy("sid", "size", "id").agg(F.count("*").alias("alike")).filter(F.col("alike") > block_rows).withColumnRenamed("id", "of")
+    many = written(many.withColumnsRenamed({"sid": "of_sid", "size": "of_size"}), "alike")
+    keyed = keyed.join(many, (F.col("sid") == F.col("of_sid")) & (F.col("size") == F.col("of_size")) & F.col("id").eqNullSafe(F.col("of")), "left").drop("of", "of_sid", "of_size")
+    own = F.col("alike").isNotNull()
+    name = F.when(own, F.coalesce(F.concat(F.lit("id "), F.col("id").cast("string")), F.lit("null"))).otherwise("")
+    part = F.when(own, F.pmod(F.xxhash64("row"), F.ceil(F.col("alike") / block_rows))).otherwise(0).cast("int")
+    keyed = keyed.select("id", "sid", "size", "source_size", "target", F.when(own, blocks).otherwise(block_number(blocks, F.col("id"), F.lit(3))).alias("block"), name.alias("name"), part.alias("part"))
+    place = ["block", "name", "part"]
+    w = Window.partitionBy("sid", "size").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     extra, base = F.pmod("copies", "n"), F.floor(F.col("copies") / F.col("n"))
     cut = lambda c: F.floor(c * extra / F.col("n"))
-    dealt = keyed.groupBy("sid", "size", "block").agg(F.count("*").alias("nb")).join(copies, ["sid", "size"]).withColumn("upto", F.sum("nb").over(w))
-    dealt = dealt.select("sid", "size", "block", base.alias("base"), (cut(F.col("upto")) - cut(F.col("upto") - F.col("nb"))).alias("extra"))
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "block").orderBy(F.xxhash64("id", F.lit(4)), "id"))
-    out = keyed.join(dealt, ["sid", "size", "block"]).withColumn("copies", (F.col("base") + (rank <= F.col("extra")).cast("int")).cast("int"))
+    dealt = keyed.groupBy("sid", "size", *place).agg(F.count("*").alias("nb")).join(copies, ["sid", "size"]).withColumn("upto", F.sum("nb").over(w))
+    dealt = dealt.select("sid", "size", *place, base.alias("base"), (cut(F.col("upto")) - cut(F.col("upto") - F.col("nb"))).alias("extra"))
+    rank = F.row_number().over(Window.partitionBy("sid", "size", *place).orderBy(F.xxhash64("id", F.lit(4)), "id"))
+    out = keyed.join(dealt, ["sid", "size", *place]).withColumn("copies", (F.col("base") + (rank <= F.col("extra")).cast("int")).cast("int"))
     return out.select(F.col("id").alias(id_col), "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))

@@ -210,7 +210,9 @@ def held_out(id_col: str = "doc_id"):
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 16_000) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 at ``threshold``
     and above). Only labels of rows that are not held out are learned from. One
-    row out for each row in; empty and null texts get a score like all others."""
+    row out for each row in, repeated ones too; empty and null texts get a score like all
+    others, an empty table gives no row. Old columns of these three names are replaced,
+    others pass through. A text is read whole, and one text at a time."""
     model = learn_quality(docs, labels.filter(~held_out(id_col)), id_col, text_col, label_col, max_rows)
     scored = score_texts(docs, model, text_col)
     return scored.withColumn("held_out", held_out(id_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -61,6 +61,18 @@ def test_quality_of_odd_rows(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_held_out_rows_and_labels_that_do_not_leak(spark):
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    got = {r.doc_id: r for r in quality.classify_quality(docs, labels).collect()}
+    assert all(r.held_out == out(i) for i, r in got.items()) and 0 < sum(r.held_out for r in got.values()) < len(got)
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("elsewhere"))
+    assert all(r.score == got[r.doc_id].score for r in quality.classify_quality(other, turned).collect())
+
+
 def test_quality_model_is_a_sum_of_tables():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16))
@@ -236,6 +248,10 @@ def test_mixing_meets_targets(spark):
     for (source_size, target), g in a.groupby(["source_size", "target"]):
         assert abs(g.taken.sum() - target) <= 0.02 * target + 3, (source_size, target)
     assert mixing.mix_sources(docs.filter("false")).count() == 0
+    alike = spark.createDataFrame([(None, "a b c", "s")] * 500 + [(7, "a b c", "s")] * 300 + [(i, "a b c", "s") for i in range(200)] + [(1, "x y", "t")], "doc_id bigint, text string, source string")
+    x, y = (mixing.mix_sources(d, block_rows=20).toPandas()[key].fillna(-1).astype(int) for d in (alike, alike.repartition(3)))
+    assert sorted(map(tuple, x.values.tolist())) == sorted(map(tuple, y.values.tolist())) and len(x) == 1001
+    assert abs(x[x["size"] == 3].taken.sum() - 4499) <= 3
     nothing = mixing.mix_sources(spark.createDataFrame([(1, "", "s")], "doc_id bigint, text string, source string")).collect()
     assert nothing[0].taken == 0 and nothing[0].target == 0
 
