@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
 import time
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tesseral import queries
-from tesseral.operators.collect_reduce import collect_reduce
-from tesseral.operators.components import connected_components
-from tesseral.sources.generate import key_values, union_pairs
+from tesseral.operators.collect_reduce import collect_reduce, collect_reduce_sequential, collect_reduce_sorted
+from tesseral.operators.components import connected_components, sequential_classes
+from tesseral.plans.storage import clear_written, written
+from tesseral.sources.generate import MIXES, classes_after, key_values, operation_stream, union_pairs
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ("uf_customer_classes", "cc_orders", "cc_lineitem_cascade", "uf_part_supplier_components", "same_set_pairs", "diseq_check", "hashcons_dedup", "canonical_terms", "frontier_orders", "merge_pairs_round", "collect_reduce_sum", "collect_reduce_par_sort_sum", "upper_median", "generated_verdicts", "smt2_solve")
+HEADLINE = ("uf_customer_classes", "cc_orders", "cc_lineitem_cascade", "uf_part_supplier_components", "same_set_pairs", "diseq_check", "hashcons_dedup", "canonical_terms", "frontier_orders", "merge_pairs_round", "cc_orders_kernel", "same_set_customers", "collect_reduce_sum", "collect_reduce_par_sort_sum", "upper_median", "generated_verdicts", "smt2_solve")
 
 
 def session() -> SparkSession:
@@ -36,31 +39,62 @@ def session() -> SparkSession:
 
 def workloads(spark: SparkSession) -> dict:
     """The published workloads: a million pairs over 100,000 elements, five million
-    over 500,000; uniform and Zipfian."""
+    over 500,000; uniform and Zipfian. Inputs are made before, as files; times are from
+    reading them. ``_stars``: without joining up forests in one task."""
     out = {}
     for millions, n in ((1, 100_000), (5, 500_000)):
         for spread in ("uniform", 0.99):
-            pairs = union_pairs(spark, millions * 1_000_000, n, spread)
-            out[f"union_{millions}M_{spread}"] = lambda p=pairs: connected_components(p, small=10_000_000)
-    data = key_values(spark, 5_000_000, 1024, 0.99)
+            pairs = written(union_pairs(spark, millions * 1_000_000, n, spread), "pairs")
+            out[f"union_{millions}M_{spread}"] = lambda p=pairs: connected_components(p)
+            if millions == 1:
+                out[f"union_1M_{spread}_stars"] = lambda p=pairs: connected_components(p, small=0)
+    data = written(key_values(spark, 5_000_000, 1024, 0.99), "data")
     out["collect_reduce_5M_0.99"] = lambda: collect_reduce(data, "key", 1024, total=F.sum("val"))
+    out["collect_reduce_sorted_5M_0.99"] = lambda: collect_reduce_sorted(data, "key", "val", name="total", kind="bigint", buckets=1024, reduceat=np.add.reduceat)
     return out
 
 
+def sweeps(spark: SparkSession) -> dict:
+    """Aggregations by rows, buckets and spread, against one loop, and streams of
+    operations by mix; for ``python bench.py --sweep``."""
+    out = {}
+    for rows in (1_000_000, 10_000_000):
+        for buckets in (256, 65_536):
+            for spread in ("uniform", 0.5, 0.99, "single"):
+                data = written(key_values(spark, rows, buckets, spread), "data")
+                name = f"{rows // 1_000_000}M_{buckets}_{spread}"
+                out[f"collect_reduce_{name}"] = lambda d=data, b=buckets: collect_reduce(d, "key", b, total=F.sum("val"))
+                out[f"sorted_{name}"] = lambda d=data, b=buckets: collect_reduce_sorted(d, "key", "val", name="total", kind="bigint", buckets=b, reduceat=np.add.reduceat)
+                out[f"sequential_{name}"] = lambda d=data, b=buckets: collect_reduce_sequential(d, "key", "val", b)
+    for mix, (rate, spread) in MIXES.items():
+        stream = written(operation_stream(spark, 8, 250_000, 100_000, rate, spread), "stream")
+        out[f"operations_2M_{mix}"] = lambda s=stream: classes_after(s, 100_000)
+    pairs = written(union_pairs(spark, 1_000_000, 100_000), "pairs")
+    out["union_1M_uniform_sequential"] = lambda: sequential_classes(pairs, 100_000)
+    return out
+
+
+def timed(job, times: int = 2) -> float:
+    """Seconds of the best run; the first also compiles."""
+    best = float("inf")
+    for _ in range(times):
+        began = time.perf_counter()
+        job().write.format("noop").mode("overwrite").save()
+        best = min(best, time.perf_counter() - began)
+    return round(best, 3)
+
+
 def main() -> None:
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
-    jobs = {name: lambda f=queries.QUERIES[name]: f(spark, SF_DIR) for name in HEADLINE} | workloads(spark)
-    spent = {}
-    for name, job in jobs.items():
-        best = None
-        for _ in range(2):  # the first run also compiles
-            began = time.perf_counter()
-            job().write.format("noop").mode("overwrite").save()
-            took = time.perf_counter() - began
-            best = took if best is None else min(best, took)
-        spent[name] = round(best, 3)
-    print(json.dumps({"metric": "total seconds of headline queries, best of 2", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent, "sf": SF_DIR.rsplit("sf", 1)[-1]}))
+    if "--sweep" in sys.argv:
+        for name, job in sweeps(spark).items():
+            print(json.dumps({name: timed(job)}), flush=True)
+    else:
+        jobs = {name: lambda f=queries.QUERIES[name]: f(spark, SF_DIR) for name in HEADLINE} | workloads(spark)
+        spent = {name: timed(job) for name, job in jobs.items()}
+        print(json.dumps({"metric": "total seconds of headline queries, best of 2", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent, "sf": SF_DIR.rsplit("sf", 1)[-1]}))
+    clear_written(spark)
     spark.stop()
 
 

@@ -19,18 +19,18 @@ from tesseral.llm.quality import classify_quality
 from tesseral.llm.secrets import learn_field, scan_secrets
 
 
-def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict]:
-    """``docs`` with its own columns of these names renamed, so that an operator's
-    columns don't take their place, and how to name them again."""
+def _beside(docs: DataFrame, names: tuple[str, ...], operator) -> DataFrame:
+    """The rows that ``operator`` makes of ``docs``, with the columns of ``docs``: those
+    named like one of the operator's (``names``) step aside while it runs."""
     own = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
-    return docs.withColumnsRenamed(own), {b: a for a, b in own.items()}
+    made = operator(docs.withColumnsRenamed(own)).drop(*names)
+    return made.withColumnsRenamed({b: a for a, b in own.items()}).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.3 and above)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows, back = _aside(docs, "held_out", "score", "predicted")
-    return classify_quality(rows, labels, threshold=0.3).filter("predicted = 1").withColumnsRenamed(back).select(*docs.columns)
+    return _beside(docs, ("held_out", "score", "predicted"), lambda rows: classify_quality(rows, labels, threshold=0.3).filter("predicted = 1"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [SECRET] in place of secrets; n_chars follows the text."""
-    rows, back = _aside(docs, "n_assign", "n_access", "n_hex", "base_sha256", "spans")
-    clean = scan_secrets(rows, learn_field(docs), redacted_col="text")
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).withColumnsRenamed(back).select(*docs.columns)
+    field = learn_field(docs)
+    clean = _beside(docs, ("n_assign", "n_access", "n_hex", "base_sha256", "spans"), lambda rows: scan_secrets(rows, field, redacted_col="text"))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,6 +206,30 @@ def _stars(pairs: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
     return ends.join(found, [*keys, "id"], "left").select(*keys, "id", F.coalesce("rep", "id").alias("rep"))
 
 
+def sequential_classes(pairs: DataFrame, n: int, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, rep) of n elements by one loop over all pairs in one task: the baseline to
+    which parallel runs compare, and nothing else."""
+
+    def run(batches):
+        parent = list(range(n))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                if x < y:
+                    parent[y] = x
+                else:
+                    parent[x] = y
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([root(x) for x in range(n)], pa.int64())], names=["id", "rep"])
+
+    return pairs.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).repartition(1).mapInArrow(run, "id bigint, rep bigint")
+
+
 def union_all(rep: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = ()) -> DataFrame:
     """The class table ``rep`` (keys, id, rep) after all unions of ``pairs``: classes,
     not ids, are joined, and each rep stays its class's smallest id."""

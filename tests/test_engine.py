@@ -65,6 +65,13 @@ def test_union_find_over_tables(spark):
     assert sorted((r.a, r.b, r.same) for r in components.same_set(asked, joined, "a", "b").collect()) == sorted([(0, 998, True), (0, 1, False), (5, 5, True), (7777, 7777, True), (7777, 1, False)])
 
 
+def test_sequential_baseline(spark):
+    pairs = generate.union_pairs(spark, 60, 50, 0.99)
+    alone = {r.id: r.rep for r in components.sequential_classes(pairs, 50).collect()}
+    joined = components.union_all(components.singletons(spark, 50), pairs)
+    assert alone == {r.id: r.rep for r in joined.collect()}
+
+
 def test_least_labels_of_a_long_chain():
     n = 5000
     order = np.random.default_rng(0).permutation(n)
