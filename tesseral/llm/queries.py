@@ -41,7 +41,9 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """Also ``text``: what is left of each text, where a cut may part a character."""
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", left)
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,24 @@ def test_plain_secrets_are_found_and_runs_equal_the_whole():
             assert f.tags(t, spans) == f.tags(t, spans, whole=True)
 
 
+def test_field_on_lines_that_it_has_not_seen():
+    field = secrets.fit_field(secrets._generated())
+    rng = np.random.default_rng(77)
+    low, alnum = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    hits = wrong = total = 0
+    for i in range(400):
+        secret = [pick(alnum, 25) + "7", pick(alnum[:52], 28), pick(alnum, 22) + "1 " + pick(alnum, 24) + "9", None, None, None, None][i % 7]
+        lead = ["Bearer", "my password is", "secret:", "on", "see", "was", "password is"][i % 7]
+        other = [f"2021-03-1{i % 10}", f"https://{pick(low, 9)}.example/{pick(low, 6)}", pick(low, 24), pick(low, 6)][(i - 3) % 7 % 4]
+        before, behind = (" ".join(pick(low, int(rng.integers(2, 10))) for _ in range(8)) for _ in range(2))
+        text = f"{before} {lead} {secret or other} {behind}"
+        found = [text[a:b] for a, b in field.spans(text)]
+        hits, total = hits + (secret is not None and secret in found), total + (secret is not None)
+        wrong += len([f for f in found if f != secret])
+    assert hits >= 0.97 * total and wrong <= 0.03 * hits
+
+
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_token_attribution(spark, rule):
     docs = odd(spark).union(spark.createDataFrame([(8, "a\n\n\n  b\n  é🙂\n\n", "x", 0.0, "k")], "doc_id bigint, text string, source string, score double, section string"))
