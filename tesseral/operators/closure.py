@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesseral.operators.components import connected_components
+from tesseral.operators.components import connected_components, keyed_components
 from tesseral.plans.storage import drop_written, written
 
 
@@ -103,12 +103,13 @@ def close_rounds(nodes: DataFrame, equalities: DataFrame, max_rounds: int = 200,
     marks.append(time.perf_counter())
     use, moves, rounds = signed, None, 0
     for _ in range(max_rounds):
-        pairs = written(_pairs(use), "pairs")
-        if pairs.isEmpty():
+        pairs = written(_pairs(use).withColumnsRenamed({"a": "u", "b": "v"}), "pairs")
+        n = pairs.count()
+        if not n:
             drop_written(spark, pairs, signed)
             break
         rounds += 1
-        moved = written(connected_components(pairs, keys=("inst",)), "moved")  # of classes; those that stay as well
+        moved = written(keyed_components(pairs, ["inst"], n), "moved")  # of classes; those that stay as well
         to = moved.select("inst", F.col("id").alias("rep"), F.col("rep").alias("__to"))
         after = lambda rows, c: rows.join(to.withColumnRenamed("rep", c), ["inst", c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
         new = moved.filter("id <> rep").select("inst", F.col("id").alias("rep"), F.col("rep").alias("__to"))
@@ -117,7 +118,7 @@ def close_rounds(nodes: DataFrame, equalities: DataFrame, max_rounds: int = 200,
             moves = written(old.join(moved.select("inst", F.col("id").alias("__to"), F.col("rep").alias("__new")), ["inst", "__to"], "left").select("inst", "rep", F.coalesce("__new", "__to").alias("__to")).union(new), "moves")
             drop_written(spark, old)
         else:
-            moves = written(new, "moves")
+            moves = new
         if arity <= FEW_CHILDREN:
             changed = _renamed(signed, moved, arity)
         else:
@@ -126,7 +127,7 @@ def close_rounds(nodes: DataFrame, equalities: DataFrame, max_rounds: int = 200,
             again = canonicalize(some.filter("hit"), moved).select("inst", "id", F.col("children").alias("__new"))
             changed = some.join(again, ["inst", "id"], "left").withColumn("children", F.coalesce("__new", "children")).drop("__new")
         table = written(after(changed, "rep").select("inst", "id", "op", "children", "rep", "hit"), "signatures")
-        drop_written(spark, pairs, signed, moved)
+        drop_written(spark, pairs, signed)
         signed, use = table.drop("hit"), table.filter("hit").drop("hit")
     else:
         raise RuntimeError(f"closure needs more than {max_rounds} rounds")

@@ -162,7 +162,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tup
     kind = pairs.schema["u"].dataType
     if keys or not isinstance(kind, T.IntegralType) or pairs.schema["v"].dataType != kind:
         pairs = written(pairs, "edges")
-        return _one_task(pairs, keys) if pairs.count() <= small else _stars(pairs, keys, max_rounds)
+        return keyed_components(pairs, keys, pairs.count(), small, max_rounds)
     own = forests = written(_forests(pairs), "forests")
     while True:
         total, rows, parts = forests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.countDistinct("part")).first()
@@ -181,6 +181,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tup
     return found.select(F.col("id").cast(kind).alias("id"), F.col("rep").cast(kind).alias("rep"))
 
 
+def keyed_components(pairs: DataFrame, keys: list[str], n: int, small: int = SMALL_EDGES, max_rounds: int = 60) -> DataFrame:
+    """The same for ``n`` written edges (keys, u, v) without nulls."""
+    return _one_task(pairs, keys) if n <= small else _stars(pairs, keys, max_rounds)
+
+
 def _stars(pairs: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
     """The same for the written edges ``pairs`` (keys, u, v) of any size."""
     spark = pairs.sparkSession

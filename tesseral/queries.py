@@ -112,6 +112,19 @@ def same_set_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.same_set(asked, rep, "a", "b")
 
 
+def uf_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of operations, one for each order: urgent ones unite their customer with
+    the nation's next one, others look theirs up. Classes after it, and look-ups in them."""
+    customer = table(spark, sf_dir, "customer")
+    after = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    stream = table(spark, sf_dir, "orders").join(customer.select(F.col("c_custkey").alias("k1"), F.coalesce(after, "c_custkey").alias("k2")), F.col("o_custkey") == F.col("k1"))
+    stream = stream.select(F.when(F.col("o_orderpriority") == "1-URGENT", "union").otherwise("find").alias("op"), "k1", "k2")
+    own = customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("rep"))
+    rep = written(components.union_all(own, stream.filter("op = 'union'"), "k1", "k2"), "rep")
+    finds = components.find(stream.filter("op = 'find'"), rep, "k1", "rep").groupBy("rep").agg(F.count("*").alias("n_finds"))
+    return rep.groupBy("rep").agg(F.count("*").alias("n_members")).join(finds, "rep", "left").select(F.col("rep").alias("class_rep"), "n_members", F.coalesce("n_finds", F.lit(0)).alias("n_finds"))
+
+
 def diseq_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An instance for each nation: customers two keys apart are said to differ."""
     customer = table(spark, sf_dir, "customer")
@@ -293,7 +306,7 @@ def expected_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        uf_customer_classes, union_all_customers, make_sets, cc_orders, cc_orders_kernel, cc_lineitem_cascade, uf_part_supplier_components, same_set_pairs, same_set_customers,
+        uf_customer_classes, union_all_customers, make_sets, cc_orders, cc_orders_kernel, cc_lineitem_cascade, uf_part_supplier_components, same_set_pairs, same_set_customers, uf_operations,
         diseq_check, hashcons_dedup, num_classes_enodes, print_classes, print_header, smt2_scan, term_display, canonical_terms, frontier_orders, merge_pairs_round,
         collect_reduce_sum, collect_reduce_par_sort_sum, upper_median, throughput, speedup, generated_verdicts, generated_rounds, smt2_solve,
         smt2_terms, smt2_constraints, smt2_declarations, suite_totals, timing_round_trip, expected_verdicts,
@@ -347,6 +360,11 @@ SQL = {
         SELECT q.a, q.b, coalesce(x.component, q.a) = coalesce(y.component, q.b) AS same FROM q LEFT JOIN k x ON q.a = x.vertex LEFT JOIN k y ON q.b = y.vertex""",
     "same_set_customers": f"""WITH c AS ({_CUSTOMERS}), q AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 7 AS b FROM orders)
         SELECT q.a, q.b, coalesce(x.class_rep, q.a) = coalesce(y.class_rep, q.b) AS same FROM q LEFT JOIN c x ON q.a = x.c_custkey LEFT JOIN c y ON q.b = y.c_custkey""",
+    "uf_operations": """WITH o AS (SELECT o_custkey AS k, bool_or(o_orderpriority = '1-URGENT') AS joined, count(*) FILTER (WHERE o_orderpriority <> '1-URGENT') AS finds FROM orders GROUP BY 1),
+        c AS (SELECT c_custkey, c_nationkey, coalesce(joined, false) AS joined, coalesce(finds, 0) AS finds FROM customer LEFT JOIN o ON c_custkey = k),
+        b AS (SELECT *, CASE WHEN lag(joined) OVER w THEN 0 ELSE 1 END AS begins FROM c WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+        g AS (SELECT *, sum(begins) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS island FROM b)
+        SELECT min(c_custkey) AS class_rep, count(*) AS n_members, CAST(sum(finds) AS BIGINT) AS n_finds FROM g GROUP BY c_nationkey, island""",
     "diseq_check": f"""WITH c AS ({_CUSTOMERS}), l AS (SELECT c_nationkey, c_custkey AS a, lead(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer),
         v AS (SELECT l.c_nationkey, bool_or(x.class_rep = y.class_rep) AS bad FROM l JOIN c x ON l.a = x.c_custkey JOIN c y ON l.b = y.c_custkey GROUP BY 1)
         SELECT CAST(n_nationkey AS VARCHAR) AS inst, CASE WHEN coalesce(bad, false) THEN 'unsat' ELSE 'sat' END AS verdict FROM nation LEFT JOIN v ON n_nationkey = c_nationkey""",
