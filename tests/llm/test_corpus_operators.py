@@ -122,6 +122,14 @@ def test_jaccard_components(spark, heavy, monkeypatch):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect()) == plain_components(rows)
 
 
+def test_jaccard_of_long_texts(spark):
+    words = [f"w{k}" for k in range(50_000)]
+    other = [*words[:25_000], "changed", *words[25_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 500_000), (4, "x" * 500_001), (5, "y " * 100_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == {1: (49_996, 1), 2: (49_996, 1), 3: (1, 3), 4: (1, 4), 5: (1, 5)}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(docs_of(spark, [(1, "x")]).filter("false")).count() == 0
 
@@ -181,6 +189,14 @@ def test_decontamination_finds_edited_items(spark):
     assert decontaminate.find_items(docs_of(spark, rows), bench.filter("false")).count() == 0
 
 
+def test_the_earliest_of_equal_places_counts():
+    item = "one two three four five six seven eight"
+    matcher = decontaminate.Matcher([item], rate=0.25, min_words=5)
+    near = item.replace("four", "4")
+    _, _, first, dist = matcher.find([f"a b {near} c {near} d", f"{near} x {item} y {item}", "z " * 9 + item.upper() + " " + item])
+    assert first.tolist() == [2, 9, 9] and dist.tolist() == [1, 0, 0]
+
+
 @pytest.mark.parametrize("n", [60, 100, 200])
 def test_long_items_with_edits_of_one_kind_are_found(n):
     rng = np.random.default_rng(n)

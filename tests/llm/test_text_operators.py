@@ -219,6 +219,13 @@ def test_token_attribution(spark, rule):
     assert tokens.count_tokens(empty(spark)).count() == 0
 
 
+def test_tokens_of_texts_without_white_space(spark):
+    docs = spark.createDataFrame([(1, "x" * 200_000), (2, "é" * 50_000), (3, "ab" * 30_000 + "\n" + "ab" * 30_000)], "doc_id bigint, text string")
+    rows = tokens.count_tokens(docs).orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.section, r.end) for r in rows] == [(1, 0, 200_000), (2, 0, 50_000), (3, 0, 60_001), (3, 1, 120_001)]
+    assert all(sum(r.n_tokens for r in rows if r.doc_id == d) == next(r.doc_tokens for r in rows if r.doc_id == d) > 0 for d in (1, 2, 3))
+
+
 def _boundary(raw, at):
     return at >= len(raw) or raw[at] & 0xC0 != 0x80
 
