@@ -169,13 +169,13 @@ class Matcher:
                 region = np.cumsum(np.concatenate([[True], (np.diff(starts) > 1) | (end[starts[1:]] != end[starts[:-1]])])) - 1
                 live_sizes.append((n, starts, region))
         met: dict[int, list] = {}
-        # windows of all sizes that have as many walks are embedded together, as many at once as fit 64 MB
+        # windows of all sizes that have as many walks are embedded together, as many at once as fit 16 MB
         for walks in sorted({walks_for(n) for n, _, _ in live_sizes}):
             mine = [x for x in live_sizes if walks_for(x[0]) == walks]
             longest = max(n for n, _, _ in mine)
             size = np.concatenate([np.full(len(starts), n) for n, starts, _ in mine])
             starts, region = np.concatenate([x[1] for x in mine]), np.concatenate([x[2] for x in mine])
-            step = max(1, 8_000_000 // (2 * longest * walks))
+            step = max(1, 2_000_000 // (2 * longest * walks))
             for a in range(0, len(starts), step):
                 here, n = starts[a : a + step], size[a : a + step]
                 windows = words[np.minimum(here[:, None] + np.arange(n.max()), len(words) - 1)]
