@@ -139,7 +139,8 @@ def _plain(chunks, window: int = 1 << 14):
             unpacker = unpacker or zlib.decompressobj(31)
             part = view[at : at + window]
             out = unpacker.decompress(part, 1 << 20)
-            at += len(part) - len(unpacker.unused_data) - len(unpacker.unconsumed_tail)
+            # behind a member's end an older unconsumed_tail may stay, beside unused_data
+            at += len(part) - len(unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail)
             if unpacker.eof:
                 unpacker = None
             if out:

@@ -336,6 +336,15 @@ def test_archives_of_many_files_and_long_pages(spark, tmp_path):
     assert len(nested) == len(rows) and all(len(r.metadata) == 2 and len(r.request) == 1 and r.response for r in nested)
 
 
+def test_members_behind_a_long_one():
+    head = lambda n: f"WARC/1.1\r\nWARC-Record-ID: <{n}>\r\nContent-Length: {n}\r\n\r\n".encode()
+    sizes = [10, 3_000_000, 20, 1 << 20, 30, 5_000_000, 40]  # unpacked in several steps, all within one window
+    data = b"".join(warc._gzipped(head(n) + b"x" * n) for n in sizes)
+    for step in (len(data), 100, 7):
+        got = warc.stream_records([data[i : i + step] for i in range(0, len(data), step)])
+        assert [(int(h["content-length"]), len(b)) for h, b in got] == [(n, n) for n in sizes]
+
+
 def test_parser_refuses_other_bytes():
     with pytest.raises(ValueError):
         list(warc.parse_records(b"HTTP/1.1 200 OK\r\n\r\n"))
