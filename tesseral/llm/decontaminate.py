@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesseral.llm.common import block_number, mix, slices, word_hashes
+from tesseral.plans.workers import lean
 
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -280,7 +281,7 @@ def _find_block(source: DataFrame, ids: list, matcher: Matcher, item_type: T.Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([ids[i] for i in item.tolist()]), *cols], names=["id", "item", "item_words", "first_word", "distance"])
 
     fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("item", item_type), *(T.StructField(c, T.LongType()) for c in ("item_words", "first_word", "distance"))]
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(lean(run), T.StructType(fields))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.25, min_words: int = 5, block: int = 5_000) -> DataFrame:
@@ -294,5 +295,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 keep[matcher.find(batch.column(at).to_pylist())[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

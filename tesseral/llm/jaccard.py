@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tesseral.llm.common import bitmap_of, drop_written, in_bitmap, mix, shingle_hashes, text_slices, word_hashes, written
 from tesseral.operators.components import connected_components
+from tesseral.plans.workers import lean, lean_groups
 
 _BITS = 50
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -128,7 +129,7 @@ def heavy_bitmap(texts: DataFrame, size: int, bits: int, least: int = _HEAVY) ->
         np.bitwise_or.at(bit, where, _u(1) << (slot & _u(63)))
         return pa.table({"word": pa.array(words, pa.int32()), "bits": pa.array(bit.view(np.int64))})
 
-    words = texts.mapInArrow(count, "bucket int, gaps binary, more binary").groupBy("bucket").applyInArrow(add, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = texts.mapInArrow(lean(count), "bucket int, gaps binary, more binary").groupBy("bucket").applyInArrow(lean_groups(add), "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bitmap = np.zeros(1 << (_SLOTS - 6), np.uint64)
     got = words.toPandas()  # at most 2**18 rows
     bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
@@ -184,7 +185,7 @@ def prefix_blocks(texts: DataFrame, size: int, bitmap, bits: int) -> DataFrame:
                     kinds = (pa.int32(), *[pa.binary()] * 5)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "keys", "ns", "shares", "elements", "local"])
 
-    return texts.mapInArrow(run, "block int, keys binary, ns binary, shares binary, elements binary, local binary")
+    return texts.mapInArrow(lean(run), "block int, keys binary, ns binary, shares binary, elements binary, local binary")
 
 
 def _gathered(table: pa.Table, kind) -> tuple[np.ndarray, ...]:
@@ -242,7 +243,7 @@ def candidates(blocks: DataFrame, bits: int) -> DataFrame:
         m = pairs.shape[1]
         return pa.table({"kind": pa.array(np.ones(m), pa.int32()), "a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "m": pa.array(np.full(m, 1 + (block >> bits)), pa.int32()), "s": pa.array(np.zeros(m), pa.float32())})
 
-    return blocks.groupBy("block").applyInArrow(run, "kind int, a bigint, b bigint, m int, s float")
+    return blocks.groupBy("block").applyInArrow(lean_groups(run), "kind int, a bigint, b bigint, m int, s float")
 
 
 def _set_table(texts: DataFrame, size: int, wanted) -> DataFrame:
@@ -261,7 +262,7 @@ def _set_table(texts: DataFrame, size: int, wanted) -> DataFrame:
                     offsets = np.concatenate([[0], np.cumsum(n[new])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["key", "tokens"])
 
-    return texts.mapInArrow(run, "key bigint, tokens array<bigint>")
+    return texts.mapInArrow(lean(run), "key bigint, tokens array<bigint>")
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -345,7 +346,7 @@ def _crossed(named: DataFrame, sketches: DataFrame, chunk: int = 4096, rows: int
         found = _compared(np.cumsum(new), col("key")[order], col("n")[order].astype(np.int64), col("label")[order], col("part")[order], [values[at[k] : at[k + 1]] for k in order.tolist()], i != j)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
-    return dealt.groupBy("block").applyInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.groupBy("block").applyInArrow(lean_groups(run), "a bigint, b bigint").distinct()
 
 
 def _links(spark: SparkSession, pairs: DataFrame, heavy: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
@@ -405,7 +406,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(words)]), pa.int32()), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(n, pa.int64()), pa.array(keys), sketch], names=["id", "n", "key", "sketch"])
 
-    digests = written(source.mapInArrow(digest, f"id {id_type}, n bigint, key bigint, sketch array<bigint>"), "digests", compact=True)
+    digests = written(source.mapInArrow(lean(digest), f"id {id_type}, n bigint, key bigint, sketch array<bigint>"), "digests", compact=True)
     ids = digests.select("id", "n", "key")
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(18, max(4, int(total // 2_000_000).bit_length()))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesseral.plans.workers import lean
+
 FEATURES = (
     "log_words", "mean_word_length", "distinct_words", "adjacent_repeats", "distinct_pairs", "upper_share",
     "symbol_share", "bang_share", "pipe_share", "digit_share", "stop_share", "comma_share", "repeated_lines",
@@ -177,7 +179,7 @@ def score_texts(docs: DataFrame, model: AdditiveModel, text_col: str = "text", s
             x = np.array([text_features(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x), pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, _appended(docs.schema, T.StructField(score_col, T.DoubleType())))
+    return docs.mapInArrow(lean(run), _appended(docs.schema, T.StructField(score_col, T.DoubleType())))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 16_000) -> AdditiveModel:
@@ -198,7 +200,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(FEATURES))), batch.column(1)], names=[*FEATURES, "y"])
 
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in (*FEATURES, "y")])
-    got = rows.mapInArrow(run, schema).toPandas().sort_values(list(FEATURES)).to_numpy(float)  # bounded by max_rows
+    got = rows.mapInArrow(lean(run), schema).toPandas().sort_values(list(FEATURES)).to_numpy(float)  # bounded by max_rows
     return fit_additive(got[:, :-1], got[:, -1])
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesseral.plans.workers import lean
+
 KINDS = ("assign", "access", "hex", "crf")
 # Patterns fixed by the contract.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -369,7 +371,7 @@ def learn_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([t for _, t in found], pa.list_(pa.int32()))], names=["on", "tags"])
 
     schema = "on array<array<int>>, tags array<int>"
-    sample = rows.mapInArrow(run, schema).orderBy(F.xxhash64(F.to_json(F.struct("on", "tags"))), F.to_json("on")).limit(max_windows)
+    sample = rows.mapInArrow(lean(run), schema).orderBy(F.xxhash64(F.to_json(F.struct("on", "tags"))), F.to_json("on")).limit(max_windows)
     return fit_field([(r.on, r.tags) for r in sample.toLocalIterator()] + _generated())  # at most max_windows rows
 
 
@@ -407,4 +409,4 @@ def scan_secrets(docs: DataFrame, field: SecretField, text_col: str = "text", re
 
     kinds = [T.LongType()] * 3 + [T.StringType()] * (2 + bool(redacted_col))
     schema = T.StructType([*source.select(*kept).schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds))])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesseral.plans.storage import drop_written, written
+from tesseral.plans.workers import lean
 
 SMALL_EDGES = 4_000_000
 FOLD = 4_000_000
@@ -97,7 +98,7 @@ def _forests(pairs: DataFrame) -> DataFrame:
         edges = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches)
         yield from _packed(*_folded(edges), TaskContext.get().partitionId())
 
-    return pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).mapInArrow(run, _PACKED)
+    return pairs.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).mapInArrow(lean(run), _PACKED)
 
 
 def _merged(forests: DataFrame, groups: int) -> DataFrame:
@@ -106,7 +107,7 @@ def _merged(forests: DataFrame, groups: int) -> DataFrame:
     def run(batches):
         yield from _packed(*_folded(_unpacked(batches)), TaskContext.get().partitionId())
 
-    return forests.repartition(groups, F.col("part") % groups).mapInArrow(run, _PACKED)
+    return forests.repartition(groups, F.col("part") % groups).mapInArrow(lean(run), _PACKED)
 
 
 def _edges_of(forests: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -114,7 +115,18 @@ def _edges_of(forests: DataFrame, names: tuple[str, str]) -> DataFrame:
         for x, y in _unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=list(names))
 
-    return forests.mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint")
+    return forests.mapInArrow(lean(run), f"{names[0]} bigint, {names[1]} bigint")
+
+
+def _joined(forests: DataFrame) -> DataFrame:
+    """(id, rep) of all forests, joined up in one task and by one Python worker."""
+
+    def run(batches):
+        x, y = _folded(_unpacked(batches))
+        for at in range(0, len(x), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 18)]), pa.array(y[at : at + (1 << 18)])], names=["id", "rep"])
+
+    return forests.repartition(1, F.col("part") % 1).mapInArrow(lean(run), "id bigint, rep bigint")
 
 
 def _one_task(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,7 +161,7 @@ def _one_task(pairs: DataFrame, keys: list[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(of) for k in keys), back(known % len(values)), back(known[label] % len(values))], names=[*keys, "id", "rep"])
 
     fields = [*(pairs.schema[k] for k in keys), T.StructField("id", kind), T.StructField("rep", kind)]
-    return pairs.repartition(1).mapInArrow(run, T.StructType(fields))
+    return pairs.repartition(1).mapInArrow(lean(run), T.StructType(fields))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), small: int = SMALL_EDGES, max_rounds: int = 60) -> DataFrame:
@@ -167,7 +179,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tup
     while True:
         total, rows, parts = forests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.countDistinct("part")).first()
         if parts <= 1 or total <= small:
-            found = _edges_of(forests if parts <= 1 else _merged(forests, 1), ("id", "rep"))
+            found = _edges_of(forests, ("id", "rep")) if parts <= 1 else _joined(forests)
             break
         # forests are merged by eights, as long as a task's share stays small and they shrink
         groups = max(-(-parts // 8), -(-total // max(small, 1)))

@@ -1,5 +1,8 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import numpy as np
+import psutil
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -7,6 +10,8 @@ from tesseral.llm.common import written
 from tesseral.llm.decontaminate import find_items
 from tesseral.llm.jaccard import jaccard_components
 from tesseral.llm.secrets import base_spans
+from tesseral.operators.components import connected_components, star_forest
+from tesseral.plans.workers import give_back, lean, lean_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +68,32 @@ def test_own_columns_and_long_texts(spark):
             assert len(found) == len(rows)
     mixed = {r.doc_id: r for r in corpus_pipeline.mix(spark, docs, SF).collect()}
     assert mixed[10]["size"] == 60_004 and len(mixed) == len(rows)
+
+
+def test_workers_give_memory_back():
+    held = []
+
+    def run(batches):
+        for n in batches:
+            some = [np.ones(12_500) for _ in range(n)]  # too small for mappings of their own
+            held.append(some[-1])  # the end of the heap stays in use
+            yield pa.RecordBatch.from_arrays([pa.array([len(some)])], names=["n"])
+
+    def kept(f):
+        before = psutil.Process().memory_info().rss
+        assert [b.column(0)[0].as_py() for b in f(iter([2_000]))] == [2_000]
+        return (psutil.Process().memory_info().rss - before) / 1e6
+
+    give_back()
+    assert kept(lean(run)) < 60  # of 200 MB
+    groups = lean_groups(lambda table: next(run([2_000])))
+    before = psutil.Process().memory_info().rss
+    assert groups(None).num_rows == 1
+    assert (psutil.Process().memory_info().rss - before) / 1e6 < 60
+
+
+def test_components_need_one_worker_for_each_task(spark):
+    edges = spark.range(0, 4_000, 1, 8).select(F.col("id").alias("a"), (F.col("id") * 7 % 4_000).alias("b"))
+    found = connected_components(edges)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.id: r.rep for r in found.collect()} == {i: r for i, r in zip(*map(np.ndarray.tolist, star_forest(np.arange(4_000), np.arange(4_000) * 7 % 4_000)))}
